@@ -2,18 +2,137 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tamarack.llm import ngram_join
+from tamarack.llm import decontaminate, embeddings, ngram_join, quality, secrets, token_files, toxicity, unigram, warc
+from tamarack.llm.labelled import held_out
+from tamarack.llm.workspace import Workspace
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(spark, docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(spark, docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(spark, docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(spark, table(spark, sf_dir, "documents"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secret_spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "op5").path("files")
+    token_files.write(spark, table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path, with_ids=False)
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link(spark, _table(spark, sf_dir, "documents"))
+    return ngram_join.link(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "op7").path("archives")
+    warc.write(spark, table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document and whether decoding them gives its text again."""
+    ids = unigram.encoded(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = unigram.decoded(spark, ids)
+    return back.select("doc_id", "n_pieces", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.counted(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_quality_classifier,
+        op3_toxicity,
+        op4_secret_scans,
+        op5_token_files,
+        op6_ngram_jaccard_join,
+        op7_warc,
+        op8_sentencepiece,
+        op9_token_counts,
+        op10_embedding_near_dedup,
+    )
+}
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p
+        ), d AS (
+            SELECT *, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (5 * (3 - i % 4)) & 31)::INT, 1), '' ORDER BY i) FROM range(32) r(i)) AS payload_digest FROM f
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM d
+    """,
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+        ), r AS (
+            SELECT vec_id, vec_id AS other FROM embeddings
+            UNION
+            SELECT r.vec_id, l.b FROM r JOIN l ON r.other = l.a
+        ), c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.vec_id
+    """,
+    "op6_ngram_jaccard_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+        ), u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+        k AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM k WHERE 100 * i >= 75 * (na + nb - i)),
+        r AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION
+            SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a
+        )
+        SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
+        FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+    """,
+}
