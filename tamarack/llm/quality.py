@@ -71,10 +71,15 @@ def measure(column: pa.Array) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
-def statistics(texts: pa.Array) -> pa.Array:
-    got = measure(texts)
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(STATISTICS))], names=list(STATISTICS))
+def statistics(text: Column) -> Column:
+    """The statistics of whole texts as a struct of doubles."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{s}:double" for s in STATISTICS) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        got = measure(texts)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(STATISTICS))], names=list(STATISTICS))
+
+    return run(text)
 
 
 @dataclass(frozen=True)
@@ -124,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     If they hold one class only, the score is constant: that class' smoothed
     share, or a half without rows.
     """
-    rows = training_rows(docs, labels, "quality", max_train).select(F.col("y").cast("double").alias("label"), statistics("text").alias("s")).cache()
+    rows = training_rows(docs, labels, "quality", max_train).select(F.col("y").cast("double").alias("label"), statistics(F.col("text")).alias("s")).cache()
     try:
         total = {int(r.label): r["count"] for r in rows.groupBy("label").count().collect()}
         good, bad = total.get(1, 0), total.get(0, 0)

@@ -184,7 +184,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                 words = WORD.findall(text.lower())
                 keys = dict(zip(words, ["", *words]))
                 stems = {w[:k] + "*": left for w, left in keys.items() for k in STEMS if len(w) > k}
-                (bad if y else good).update(keys | stems)
+                (bad if y else good).update(list(keys | stems))
                 if y:
                     for key, left in (keys | stems).items():
                         known = lefts.setdefault(key, set())
