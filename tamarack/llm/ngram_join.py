@@ -7,7 +7,9 @@ Rows of the tables here, by step:
 2. a second pass emits each set's prefix, rarest shingles first, and one shuffle
    by shingle brings the sets that share one together;
 3. neighbours in a shingle's size order, and its first set, are candidates if
-   length and position let them reach the threshold; a pair is verified once;
+   length, position and the suffix filter let them reach the threshold; a pair is
+   verified once. The suffix filter bounds the sets' difference from below by the
+   classes of a hash in which the sets hold an odd number of shingles;
 4. shingles whose sets are still in several components have all pairs between
    components verified, so nothing is lost however large a group is.
 """
@@ -31,6 +33,8 @@ SKETCH_BITS = 19
 _CHUNK = 1 << 13
 #: Neighbours in a shingle's order that a set is compared with before components are known.
 NEIGHBOURS = 3
+#: Longs that hold the parities of a set's 64 * SIGNATURE hash classes.
+SIGNATURE = 16
 #: Bits of the filter that spares scanning documents without candidates (1 MB).
 BLOOM_BITS = 23
 
@@ -39,20 +43,31 @@ def _set_hash(u: np.ndarray) -> int:
     return int(mix(np.array([mix(u ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(u))])).view(np.int64)[0])
 
 
+def _signature(u: np.ndarray) -> np.ndarray:
+    odd = np.bincount((u >> np.uint64(7)) % np.uint64(64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differ(x: str, y: str) -> str:
+    """A lower bound of the symmetric difference of two sets, from their signatures."""
+    return " + ".join(f"bit_count({x}[{k}] ^ {y}[{k}])" for k in range(SIGNATURE))
+
+
 def _bucket(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _measure(width: int):
-    """(doc_id, n, set_id) of every document, and at the task's end its part of the frequency table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    """(doc_id, n, set_id, signature) of every document, and at the task's end its part of the frequency table."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("signature", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
         for batch in batches:
-            sizes, sets, held = [], [], []
+            sizes, sets, marks, held = [], [], [], []
             for u in shingles(batch.column("text"), width):
                 sizes.append(len(u))
+                marks.append(_signature(u) if len(u) else None)
                 sets.append(_set_hash(u) if len(u) else None)
                 held.append(_bucket(u))
                 seen += len(u)
@@ -63,14 +78,14 @@ def _measure(width: int):
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema
+                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema
             )
         if seen:
             parts = [(k, counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(len(counts) // _CHUNK)]
             parts = [(k, c.astype(np.int64).tobytes()) for k, c in parts if c.any()]
             m = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())],
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())],
                 schema=schema,
             )
 
@@ -119,10 +134,18 @@ def _prefixes(width: int, percent: int, table):
     return run
 
 
+def _need(percent: int) -> str:
+    return f"ceil({percent} * (n + m) / {100 + percent}.0D)"
+
+
 def _passes(percent: int) -> str:
     """Length filter and positional filter of sizes n, m at positions pos, qos."""
-    need = f"ceil({percent} * (n + m) / {100 + percent}.0D)"
-    return f"least(n, m) * 100 >= {percent} * greatest(n, m) and 1 + least(n - pos - 1, m - qos - 1) >= {need}"
+    return f"least(n, m) * 100 >= {percent} * greatest(n, m) and 1 + least(n - pos - 1, m - qos - 1) >= {_need(percent)}"
+
+
+def _suffix(percent: int, x: str = "x", y: str = "y") -> str:
+    """Suffix filter of sizes n, m and signatures x, y."""
+    return f"n + m - 2 * {_need(percent)} >= {_differ(x, y)}"
 
 
 def _arrays(width: int, bits):
@@ -166,8 +189,7 @@ def _bloom(ids: DataFrame) -> bytes:
 
 
 def _verify(percent: int):
-    """Keeps the pairs whose sets reach the threshold; the suffix filter goes first."""
-    pivots = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
+    """Keeps the pairs whose sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +197,6 @@ def _verify(percent: int):
             for x, y in zip(batch.column("x"), batch.column("y")):
                 a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 need = -(-percent * (len(a) + len(b)) // (100 + percent))
-                bound = np.minimum(np.diff(np.searchsorted(a, pivots), prepend=0, append=len(a)), np.diff(np.searchsorted(b, pivots), prepend=0, append=len(b))).sum()
-                if bound < need:
-                    keep.append(False)
-                    continue
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 keep.append(int((b[at] == a).sum()) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -200,8 +218,11 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     """
     work = Workspace(spark, "ngram-join")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    measured = work.save(texts.mapInArrow(_measure(width), "doc_id long, n int, set_id long, chunk int, counts binary"), "measured")
+    measured = work.save(texts.mapInArrow(_measure(width), "doc_id long, n int, set_id long, signature array<long>, chunk int, counts binary"), "measured")
     rows = measured.where("chunk is null").select("doc_id", "n", "set_id")
+    sets = measured.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"))
+    sets = work.save(sets, "sets")
+    sign = sets.select("set_id", "signature")
     table = spark.sparkContext.broadcast(_frequencies(measured))
 
     by_token = Window.partitionBy("token")
@@ -220,7 +241,9 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     near = shared.select("token", "set_id", "n", "pos", *(F.lag(me, k).over(order).alias(f"p{k}") for k in range(1, NEIGHBOURS + 1)), F.first(me).over(order).alias("p0"))
     near = near.select("set_id", "n", "pos", F.explode(F.array(*(f"p{k}" for k in range(NEIGHBOURS + 1)))).alias("p")).where("p is not null and p.set_id <> set_id")
     near = near.select(F.col("set_id").alias("s"), F.col("p.set_id").alias("t"), "n", "pos", F.col("p.n").alias("m"), F.col("p.pos").alias("qos"))
-    pairs = work.save(near.where(_passes(percent)).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct(), "pairs")
+    near = near.where(_passes(percent)).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()
+    near = near.join(sign.toDF("a", "x"), "a").join(sign.toDF("b", "y"), "b").where(_suffix(percent))
+    pairs = work.save(near.select("a", "b"), "pairs")
 
     def verified(candidates: DataFrame) -> DataFrame:
         ids = candidates.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -238,15 +261,14 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
             .withColumn("component", F.coalesce("component", "set_id"))
         )
         mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        large = work.save(large.join(mixed, "token", "left_semi"), "mixed")
-        other = large.select("token", F.col("set_id").alias("t"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("c"))
-        rest = large.join(other, "token").where("component < c").where(_passes(percent))
+        large = work.save(large.join(mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id"), "mixed")
+        other = large.select("token", F.col("set_id").alias("t"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("c"), F.col("x").alias("y"))
+        rest = large.join(other, "token").where("component < c").where(_passes(percent)).where(_suffix(percent))
         rest = rest.select(F.least("set_id", "t").alias("a"), F.greatest("set_id", "t").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         rest = work.save(rest, "rest")
         if not rest.isEmpty():
             links = reduce(DataFrame.unionByName, [links, verified(rest)])
 
-    sets = work.save(rows.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "sets")
     name = sets.where("rep is not null")
     edges = links.join(name.select(F.col("set_id").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("set_id").alias("b"), F.col("rep").alias("rb")), "b")
     # a doc_id that repeats with other texts ties those texts' sets together
