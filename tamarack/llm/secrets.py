@@ -26,7 +26,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: A random run: nats in all, nats a character, and distinct characters.
-MIN_LLR, MIN_MEAN, MIN_DISTINCT = 15.0, 0.35, 8
+MIN_LLR, MIN_MEAN, MIN_DISTINCT = 12.0, 0.3, 8
 #: Documents that the samples are drawn from at most: those with the smallest hashes of their id.
 MAX_TRAIN_DOCS = 2_000
 SPAN = "array<struct<kind:string,start:int,end:int,value:int>>"
@@ -64,12 +64,19 @@ def fit(random: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5) -> Mod
     return Model(np.log(a / a.sum(axis=1, keepdims=True)) - np.log(b / b.sum(axis=1, keepdims=True)))
 
 
+def identifiers(words: list[str]) -> list[str]:
+    """Names as programs and paths have them, from every three words: snake case, camel case and a path."""
+    three = zip(words[::3], words[1::3], words[2::3])
+    return [x for a, b, c in three for x in (f"{a}_{b}_{c}".lower(), a.lower() + b.title() + c.title(), f"/{a}/{b}.{c}")]
+
+
 def learn(spark: SparkSession, docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Both models from samples of at most ``max_docs`` documents.
 
     Random strings: the values that the fixed patterns find there, and digests of
     the documents' ids in hexadecimal, base 64 and its letters and digits.
-    Ordinary ones: all other runs of six token characters or more. Only summed
+    Ordinary ones: all other runs of six token characters or more, and identifiers
+    made of neighbouring words (``identifiers``). Only summed
     transition counts (two small matrices) reach the driver.
     """
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -85,6 +92,7 @@ def learn(spark: SparkSession, docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
                 good += made
                 base = base_spans(text)
                 good += [text[v:e] for _, _, e, v in base]
+                bad += identifiers(re.findall("[A-Za-z]+", text))
                 bad += [m[0] for m in WORDS.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
             for y, counts in ((1, transitions(good)), (0, transitions(bad))):
                 i, j = counts.nonzero()
