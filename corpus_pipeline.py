@@ -15,6 +15,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids that are broadcast at most (16 MB of longs); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among ``ids``; those without an id stay."""
+    ids = Workspace(spark, "dropped").save(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select(*COLUMNS).join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more for toxicity go; the model is learned from ``labels``."""
     model = toxicity.learn(spark, docs, _table(spark, sf_dir, "labels"))
@@ -26,15 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without an id stay, as nothing tells them apart; rows that repeat an id stay together.
     """
-    links = ngram_join.link(spark, docs)
-    dropped = links.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return _without(spark, docs, ngram_join.link(spark, docs).where("doc_id <> component_id"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    found = decontaminate.contaminated(spark, docs, _table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return _without(spark, docs, decontaminate.contaminated(spark, docs, _table(spark, sf_dir, "benchmark")))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
