@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.textbuf import LOWER, _ODD, _ODD_INVERSE, power, slices, utf8
+from tamarack.llm.textbuf import LOWER, ODD, ODD_INVERSE, power, slices, utf8
 
 Q = 12
 #: Edits allowed as a share of the passage's normalised length.
@@ -50,8 +50,8 @@ def qgram_hashes(buf: np.ndarray, q: int) -> np.ndarray:
     if n < q:
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power(_ODD, n), out=total[1:])
-    return (total[q:] - total[:-q]) * power(_ODD_INVERSE, n + 1)[: n - q + 1]
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power(ODD, n), out=total[1:])
+    return (total[q:] - total[:-q]) * power(ODD_INVERSE, n + 1)[: n - q + 1]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:

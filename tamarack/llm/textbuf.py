@@ -14,8 +14,8 @@ import pyarrow as pa
 #: Bytes of one slice of a batch: bounds the arrays below whatever the batch holds.
 SLICE_BYTES = 1 << 20
 
-_ODD = 0x9E3779B97F4A7C15
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+ODD = 0x9E3779B97F4A7C15
+ODD_INVERSE = pow(ODD, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -84,8 +84,8 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each byte span, the same wherever the span stands."""
     n = len(buf)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power(_ODD, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * power(_ODD_INVERSE, n + 1)[starts])
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power(ODD, n), out=total[1:])
+    return mix((total[ends] - total[starts]) * power(ODD_INVERSE, n + 1)[starts])
 
 
 def shingles(column: pa.Array, width: int) -> Iterator[np.ndarray]:
