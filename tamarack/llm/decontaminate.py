@@ -24,6 +24,8 @@ Q = 12
 EDIT_RATE = 0.05
 #: Characters of passages that are indexed and broadcast at once; a larger benchmark goes in blocks.
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams that are counted at once.
+POSTINGS = 1_000_000
 _FILTER_BITS = 22
 
 _KEEP = np.zeros(256, dtype=bool)
@@ -125,6 +127,12 @@ def align(item: np.ndarray, text: np.ndarray, lo: int, hi: int, fixed: bool = Fa
     return int(row[best]), len(item) + lo + best
 
 
+def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts summed by key."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+
+
 def _matches(buf: np.ndarray, off: np.ndarray, index: Index, table: np.ndarray, q: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, edits, start, end) in the given bytes: of each row and item the place with fewest edits."""
     text, rows, at = normalise(buf, off)
@@ -138,31 +146,33 @@ def _matches(buf: np.ndarray, off: np.ndarray, index: Index, table: np.ndarray,
     pos, k, row = pos[good], k[good], row[good]
     if not len(pos):
         return
-    reps = index.bounds[k + 1] - index.bounds[k]
-    post = np.repeat(index.bounds[k], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    item, row = index.item[post], np.repeat(row, reps)
     lift = max(map(len, index.texts))
-    diag = np.repeat(pos, reps) - rows[row] - index.pos[post] + lift  # never negative
-    width = index.budgets[item] + 1
-    pair = row * np.int64(len(index.ids)) + item
-    band = np.concatenate([diag // width, diag // width - 1]) + 1
-    top = band.max() + 1
-    keys, counts = np.unique(np.concatenate([pair, pair]) * top + band, return_counts=True)
-    enough = counts >= index.needs[(keys // top) % len(index.ids)]
+    n, top = len(index.ids), int(np.diff(rows).max()) + 2 * lift + 4
+    reps = index.bounds[k + 1] - index.bounds[k]
+    cuts = np.searchsorted(np.cumsum(reps), np.arange(POSTINGS, reps.sum(), POSTINGS))
+    keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    for pos_, k_, row_, reps_ in zip(*(np.split(x, cuts) for x in (pos, k, row, reps))):  # shared q-grams, a bounded number at once
+        post = np.repeat(index.bounds[k_], reps_) + np.arange(reps_.sum()) - np.repeat(np.cumsum(reps_) - reps_, reps_)
+        item, row_ = index.item[post], np.repeat(row_, reps_)
+        diag = np.repeat(pos_, reps_) - rows[row_] - index.pos[post] + lift  # never negative
+        band = diag // (index.budgets[item] + 1) + 1
+        pair = (row_ * np.int64(n) + item) * top
+        keys, counts = _add(np.concatenate([keys, pair + band, pair + band - 1]), np.concatenate([counts, np.ones(2 * len(band), dtype=np.int64)]))
+    enough = counts >= index.needs[(keys // top) % n]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for key in keys[enough]:
-        p, b = divmod(int(key), int(top))
-        r, i = divmod(p, len(index.ids))
+        p, b = divmod(int(key), top)
+        r, i = divmod(p, n)
         if best.get((r, i), (1,))[0] == 0:
             continue
         budget, found = int(index.budgets[i]), index.texts[i]
         w = budget + 1
         line = text[rows[r] : rows[r + 1]]
         lo = (b - 1) * w - lift
-        mine = diag[(pair == p) & (diag >= lo + lift) & (diag < lo + lift + 2 * w)]
-        d = int(np.bincount(mine - lo - lift).argmax()) + lo
-        if d >= 0 and np.array_equal(line[d : d + len(found)], found):
-            best[r, i] = (0, d, d + len(found))
+        first = max(0, lo)
+        at0 = line[first : max(first, lo + 2 * w - 1 + len(found))].tobytes().find(found.tobytes())
+        if at0 >= 0:  # no edits
+            best[r, i] = (0, first + at0, first + at0 + len(found))
             continue
         edits, end = align(found, line, lo - budget, lo + 2 * w - 1 + budget)
         if edits <= budget and edits < best.get((r, i), (edits + 1,))[0]:

@@ -95,6 +95,19 @@ def test_blocks_find_the_same(spark, monkeypatch):
     assert run(spark, docs, items) == whole and len(whole) >= 24
 
 
+def test_common_qgrams_are_counted_in_parts(spark, monkeypatch):
+    shared = words(12)
+    items = [(k, f"{shared} {words(10)}") for k in range(15)]
+    docs = [(k, f"{shared} {shared} {items[k % 15][1]} {shared}") for k in range(15)] + [(99, f"{shared} " * 30)]
+    whole = {k: tuple(r) for k, r in run(spark, docs, items).items()}
+    monkeypatch.setattr(d, "POSTINGS", 100)
+    raw = [np.frombuffer(t.encode(), dtype=np.uint8) for _, t in docs]
+    off = np.cumsum([0, *map(len, raw)])
+    index = d.Index.build(items)
+    parts = {(docs[r][0], index.ids[i]): (docs[r][0], index.ids[i], e, s, t) for r, i, e, s, t in d._matches(np.concatenate(raw), off, index, index.filter(), d.Q)}
+    assert parts == whole and set(whole) >= {(k, k) for k in range(15)}
+
+
 @pytest.mark.parametrize("k", range(30))
 def test_alignment_in_a_band(k):
     item, text = words(4).encode(), words(8).encode()
