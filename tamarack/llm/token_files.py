@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,42 +25,75 @@ from tamarack.llm.workspace import Workspace
 END_ID = 2
 MAX_LENGTH = 18
 BLOCK_TOKENS, INTERVAL = 1 << 18, 256
-#: Words whose ids a Python worker keeps, and texts tokenized at once: bounds its memory.
-CACHE_WORDS, GROUP = 200_000, 256
+#: Words of each of a Python worker's two generations, and texts tokenized at once: bounds its memory.
+CACHE_WORDS, GROUP = 250_000, 256
 BLOCK_SCHEMA = "part int, start long, doc_ids array<long>, sizes array<int>, checkpoints array<long>, payload binary"
 
 
+class _Words(dict):
+    """Ids of words as bytes, in two generations of bounded size; ``fill`` tokenizes those that are missing.
+
+    The vocabulary splits between letters and other characters and lower-cases, so
+    a letter's full stop or comma is tokenized apart, and ASCII words in lower case.
+    """
+
+    def __init__(self, spec: str, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.code, self.old = Tokenizer.from_str(spec), "H" if kind == "<u2" else "I", {}
+
+    def _plain(self, word: str) -> tuple[str, str]:
+        end = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
+        stem = word[: len(word) - len(end)]
+        return (stem.lower() if stem.isascii() and "<" not in stem else stem), end
+
+    def fill(self, words: set[str]) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        new = words.difference(self)
+        self.update((w, self.old[w]) for w in new if w in self.old)
+        new.difference_update(self)
+        plain = {w: self._plain(w) for w in new}
+        todo = list({x for two in plain.values() for x in two}.difference(self))
+        for k in range(0, len(todo), 20_000):
+            part = todo[k : k + 20_000]
+            self.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        self.update((w, self[stem] + self[end]) for w, (stem, end) in plain.items())
+
+
 @lru_cache(maxsize=1)
-def _tokenizer(spec: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _words(spec: str, kind: str) -> _Words:
+    return _Words(spec, kind)
+
+
+def _spec(path: str | None) -> tuple[str, str]:
+    """The tokenizer file's text, and the little-endian type that holds its ids."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_str(spec), {}
+    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    return text, "<u2" if Tokenizer.from_str(text).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def tokenize(spark: SparkSession, text: Column, path: str | None = None) -> Column:
-    """Ids of each whole text, then ``END_ID``, as little-endian 32-bit integers (``binary``).
+def tokenize(spark: SparkSession, text: Column, spec: str, kind: str) -> Column:
+    """Ids of each whole text, then ``END_ID``, as integers of the given type (``binary``).
 
     The vocabulary drops white space before it splits words, so the words between
     spaces and line feeds are tokenized apart and their ids kept. Null texts are empty.
     """
-    with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+    shared = spark.sparkContext.broadcast(spec)
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer, known = _tokenizer(shared.value)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        known = _words(shared.value, kind)
+        end = np.array([END_ID], dtype=kind).tobytes()
         for batch in batches:
             out = []
             for at in range(0, len(batch), GROUP):
                 words = [(t or "").replace("\n", " ").split(" ") for t in batch[at : at + GROUP].to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                new = list(set().union(*words).difference(known))
-                for k in range(0, len(new), 20_000):
-                    part = new[k : k + 20_000]
-                    known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+                known.fill(set().union(*words))
                 out += [b"".join([*map(known.__getitem__, w), end]) for w in words]
             yield pa.array(out, pa.binary())
 
@@ -153,14 +187,15 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
     Only the counts of the vocabulary's ids reach the driver.
     """
     work = Workspace(spark, "token-files")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokenize(spark, F.col("text").cast("string"), tokenizer).alias("ids"))
+    spec, kind = _spec(tokenizer)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokenize(spark, F.col("text").cast("string"), spec, kind).alias("ids"))
     ids = work.save(texts, "ids")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for row in batch.column("ids"):
-                got = np.bincount(np.frombuffer(row.as_buffer(), dtype="<u4"))
+                got = np.bincount(np.frombuffer(row.as_buffer(), dtype=kind))
                 if len(got) > len(total):
                     total = np.pad(total, (0, max(len(got), 2 * len(total)) - len(total)))
                 total[: len(got)] += got
@@ -189,7 +224,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
         for batch in batches:
             for name, row, part in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("part").to_pylist()):
                 names.append(name)
-                held.append(np.frombuffer(row.as_buffer(), dtype="<u4"))
+                held.append(np.frombuffer(row.as_buffer(), dtype=kind))
                 size += len(held[-1])
                 if size >= BLOCK_TOKENS:
                     yield block()
