@@ -16,6 +16,7 @@ vocabulary for which this does not hold is solved text by text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,8 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words kept per Python worker, and the longest of them: bounds the cache.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 48
+#: Words of each of a Python worker's two generations, and the longest of them: bounds the cache to about 160 MB.
+CACHE_WORDS, CACHE_LENGTH = 400_000, 48
 UNKNOWN_PENALTY = 10.0
 
 
@@ -68,17 +69,27 @@ class Lattice:
         self.unknown_score = min(v.scores[i] for i in normal) - UNKNOWN_PENALTY
         self.bytes = {int(v.pieces[i][1:-1], 16): i for i, k in enumerate(v.kinds) if k == "b"}
         self.unknown = v.unknown
-        apart = not any(SPACE in v.pieces[i].lstrip(SPACE) or "\n" in v.pieces[i] for i in normal)
-        self.split = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if apart else "(?s:.+)").findall
+        self.pairs = {p[k : k + 2] for p in (v.pieces[i] for i in normal) for k in range(len(p) - 1)}
+        self.apart = not any(SPACE in v.pieces[i].lstrip(SPACE) or "\n" in v.pieces[i] for i in normal)
+        self.split = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if self.apart else "(?s:.+)").findall
 
     def parts(self, text: str) -> list[str]:
-        return self.split(SPACE + text.replace(" ", SPACE)) if text else []
+        """The text's words, which are solved apart; some may be empty."""
+        if not text:
+            return []
+        if self.apart and "  " not in text and text[0] != " " and SPACE not in text:  # as below, but faster
+            return (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ")
+        return self.split(SPACE + text.replace(" ", SPACE))
+
+    def cut(self, part: str) -> tuple[str, str] | None:
+        """The word without its last character, and that, if no piece holds both of the characters that meet there."""
+        return (part[:-1], part[-1]) if len(part) > 1 and part[-2:] not in self.pairs else None
 
     def _unknowns(self, part: str) -> list[int]:
-        return [i for i, c in enumerate(part) if c not in self.singles]
+        return [] if self.singles.issuperset(part) else [i for i, c in enumerate(part) if c not in self.singles]
 
     def encode(self, part: str) -> bytes:
-        """Ids of the best path as little-endian 32-bit integers."""
+        """Ids of the best path as 32-bit integers. Matches come longest first, so a later one must score more."""
         n, miss, k = len(part), self._unknowns(part), 0
         best, size, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [self.unknown] * (n + 1)
         for last, (i, length, score) in self.automaton.iter(part):
@@ -87,7 +98,7 @@ class Lattice:
                 best[miss[k] + 1], size[miss[k] + 1] = best[miss[k]] + self.unknown_score, 1
                 k += 1
             s = best[end - length] + score
-            if s > best[end] or s == best[end] and length > size[end]:
+            if s > best[end]:
                 best[end], size[end], piece[end] = s, length, i
         for u in miss[k:]:
             best[u + 1], size[u + 1] = best[u] + self.unknown_score, 1
@@ -98,15 +109,16 @@ class Lattice:
             else:
                 out.append(piece[at])
             at -= size[at]
-        return np.array(out[::-1], dtype="<i4").tobytes()
+        out.reverse()
+        return array("i", out).tobytes()
 
     def count(self, part: str) -> int:
         """Length of ``encode``'s ids: the best score and its piece count are carried, no path is kept."""
         n, miss, k = len(part), self._unknowns(part), 0
-        best, size, count = [0.0] + [-np.inf] * n, [0] * (n + 1), [0] * (n + 1)
+        best, count = [0.0] + [-np.inf] * n, [0] * (n + 1)
 
         def unknown(u: int) -> None:
-            best[u + 1], size[u + 1] = best[u] + self.unknown_score, 1
+            best[u + 1] = best[u] + self.unknown_score
             count[u + 1] = count[u] + (len(part[u].encode("utf-8", "replace")) if self.bytes else 1)
 
         for last, (_, length, score) in self.automaton.iter(part):
@@ -115,8 +127,8 @@ class Lattice:
                 unknown(miss[k])
                 k += 1
             s = best[end - length] + score
-            if s > best[end] or s == best[end] and length > size[end]:
-                best[end], size[end], count[end] = s, length, count[end - length] + 1
+            if s > best[end]:
+                best[end], count[end] = s, count[end - length] + 1
         for u in miss[k:]:
             unknown(u)
         return count[n]
@@ -128,24 +140,32 @@ def _lattice(v: Vocabulary) -> Lattice:
 
 
 class _Solved(dict):
-    """Results by word; a word that is too long is solved each time."""
+    """Results by word. A full generation becomes the old one, from which words in use come back.
+
+    A word that is too long is solved each time, one that can be cut is its parts' sum.
+    """
 
-    def __init__(self, solve: Callable):
-        self.solve = solve
+    def __init__(self, solve: Callable, cut: Callable):
+        self.solve, self.cut, self.old = solve, cut, {}
 
     def __missing__(self, part: str):
-        found = self.solve(part)
-        if len(part) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[part] = found
+        if len(part) > CACHE_LENGTH:
+            return self.solve(part)
+        found = self.old.pop(part, None)
+        if found is None:
+            apart = self.cut(part)
+            found = self[apart[0]] + self[apart[1]] if apart else self.solve(part)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = found
         return found
 
 
 @lru_cache(maxsize=4)
 def _solved(v: Vocabulary, what: str) -> tuple[Callable, _Solved]:
     lattice = _lattice(v)
-    return lattice.parts, _Solved(getattr(lattice, what))
+    return lattice.parts, _Solved(getattr(lattice, what), lattice.cut)
 
 
 def encode(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
@@ -181,8 +201,10 @@ def decode(spark: SparkSession, ids: Column, vocabulary: Vocabulary) -> Column:
                 if not row.is_valid:
                     out.append(None)
                     continue
-                found = [i for i in row.values.to_pylist() if i is not None and 0 <= i < len(table)]
-                raw = b"".join(map(table.__getitem__, found))
+                found = row.values.drop_null().to_numpy()
+                if len(found) and not 0 <= found.min() <= found.max() < len(table):
+                    found = found[(found >= 0) & (found < len(table))]
+                raw = b"".join(map(table.__getitem__, found.tolist()))
                 out.append(raw.removeprefix(b" ").decode("utf-8", "replace"))
             yield pa.array(out, pa.string())
 
