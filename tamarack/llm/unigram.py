@@ -29,9 +29,11 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm.workspace import small_batches
+
 SPACE = "▁"
-#: Words of each of a Python worker's two generations, and the longest of them: bounds the cache to about 160 MB.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+#: Words of each of a Python worker's two generations, and the longest of them: bounds the cache to about 40 MB.
+CACHE_WORDS, CACHE_LENGTH = 100_000, 48
 UNKNOWN_PENALTY = 10.0
 
 
@@ -170,6 +172,7 @@ def _solved(v: Vocabulary, what: str) -> tuple[Callable, _Solved]:
 
 def encode(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
     """``array<int>``: ids of the text. Null and empty texts have no ids."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("array<int>")
@@ -188,6 +191,7 @@ def decode(spark: SparkSession, ids: Column, vocabulary: Vocabulary) -> Column:
 
     ``decode(encode(t))`` is ``t``, but a null becomes empty and the space mark U+2581 a space.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("string")
@@ -213,6 +217,7 @@ def decode(spark: SparkSession, ids: Column, vocabulary: Vocabulary) -> Column:
 
 def count(spark: SparkSession, text: Column, vocabulary: Vocabulary) -> Column:
     """``long``: how many ids ``encode`` gives, without making them. Null and empty texts: 0."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("long")

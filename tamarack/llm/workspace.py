@@ -46,3 +46,10 @@ class Workspace:
         for file in df.inputFiles()[:1]:
             folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(conf).delete(folder, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches of this session hold at most ``rows`` rows: long texts and their results need memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
