@@ -8,9 +8,9 @@ offset of every ``INTERVAL``-th id, and is decoded without any other block.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.workspace import Workspace
+from tamarack.llm.workspace import Workspace, small_batches
 
 END_ID = 2
 MAX_LENGTH = 18
 BLOCK_TOKENS, INTERVAL = 1 << 18, 256
-#: Words of each of a Python worker's two generations, and texts tokenized at once: bounds its memory.
-CACHE_WORDS, GROUP = 250_000, 256
+#: Words of each of a Python worker's two generations, texts tokenized at once, and words in one call: bounds its memory.
+CACHE_WORDS, GROUP, LINE = 150_000, 256, 100
 BLOCK_SCHEMA = "part int, start long, doc_ids array<long>, sizes array<int>, checkpoints array<long>, payload binary"
 
 
@@ -41,10 +41,15 @@ class _Words(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.code, self.old = Tokenizer.from_str(spec), "H" if kind == "<u2" else "I", {}
+        self.tokenizer, self.kind, self.old = Tokenizer.from_str(spec), kind, {}
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _plain(self, word: str) -> tuple[str, str]:
-        end = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() else ""
+        end = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() and word[-2] < "\u0530" else ""
         stem = word[: len(word) - len(end)]
         return (stem.lower() if stem.isascii() and "<" not in stem else stem), end
 
@@ -57,9 +62,21 @@ class _Words(dict):
         new.difference_update(self)
         plain = {w: self._plain(w) for w in new}
         todo = list({x for two in plain.values() for x in two}.difference(self))
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            self.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        letters = [w for w in todo if w.isalpha()] if self.ends.any() else []
+        rest = [w for w in todo if not w.isalpha()] if letters else todo
+        lines = [letters[k : k + LINE] for k in range(0, len(letters), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast(list(map(" ".join, lines)), add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(line):
+                raw, size = ids.tobytes(), ids.itemsize
+                cuts = [0, *(ends * size).tolist()]
+                self.update(zip(line, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+            else:  # a few letters decompose into more than letters
+                rest += line
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            self.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
         self.update((w, self[stem] + self[end]) for w, (stem, end) in plain.items())
 
 
@@ -186,6 +203,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
 
     Only the counts of the vocabulary's ids reach the driver.
     """
+    small_batches(spark)
     work = Workspace(spark, "token-files")
     spec, kind = _spec(tokenizer)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokenize(spark, F.col("text").cast("string"), spec, kind).alias("ids"))
