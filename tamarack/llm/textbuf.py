@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of one slice of a batch: bounds the arrays below whatever the batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 ODD = 0x9E3779B97F4A7C15
 ODD_INVERSE = pow(ODD, -1, 1 << 64)

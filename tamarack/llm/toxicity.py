@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.llm.labelled import MAX_TRAIN, fit_logistic, training_rows
+from tamarack.llm.workspace import small_batches
 
 WORD = re.compile(r"\w+")
 #: Terms known beforehand; labelled rows that speak against one remove it.
@@ -34,7 +35,7 @@ QUOTES = "\"“”„«»"
 WINDOW = 60
 STEMS = (4, 5, 6)
 #: Bounds of the lexicon, of fuzzy terms' length and of the words that a worker remembers as clean.
-MAX_TERMS, FUZZY_LENGTH, SEEN_WORDS = 4000, 5, 300_000
+MAX_TERMS, FUZZY_LENGTH, SEEN_WORDS = 4000, 5, 150_000
 MIN_G2, MIN_SHARE, MIN_LEFTS = 20.0, 0.6, 3
 
 
@@ -208,6 +209,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: in
 
     With no labelled row of one class the seed terms and fixed weights are the model.
     """
+    small_batches(spark)
     rows = training_rows(docs, labels, "toxic", max_train).cache()
     try:
         total = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -249,6 +251,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: in
 
 def score(spark: SparkSession, text: Column, model: Model) -> Column:
     """``double`` from 0 to 1 for each whole text; null and empty texts score as texts without a hit."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
