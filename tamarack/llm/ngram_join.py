@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tamarack.llm.components import connected_components
 from tamarack.llm.textbuf import mix, shingles
-from tamarack.llm.workspace import Workspace
+from tamarack.llm.workspace import Workspace, small_batches
 
 #: Buckets of the frequency table: its size is fixed, so broadcasting it is bounded (2 MB).
 SKETCH_BITS = 19
@@ -216,6 +216,7 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     component it then shares. Rows that repeat a doc_id are one node and each
     stays in the result. Other columns are ignored.
     """
+    small_batches(spark)
     work = Workspace(spark, "ngram-join")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     measured = work.save(texts.mapInArrow(_measure(width), "doc_id long, n int, set_id long, signature array<long>, chunk int, counts binary"), "measured")
@@ -248,7 +249,8 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     def verified(candidates: DataFrame) -> DataFrame:
         ids = candidates.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         bits = spark.sparkContext.broadcast(_bloom(ids))
-        arrays = work.save(texts.select("text").mapInArrow(_arrays(width, bits), "set_id long, shingles binary").dropDuplicates(["set_id"]), "arrays")
+        # both joins use the one exchange by set_id that drops repeats
+        arrays = texts.select("text").mapInArrow(_arrays(width, bits), "set_id long, shingles binary").repartition(F.col("set_id")).dropDuplicates(["set_id"])
         both = candidates.join(arrays.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(arrays.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
         return work.save(both.mapInArrow(_verify(percent), "b long, a long").select("a", "b"), "links")
 
