@@ -11,7 +11,10 @@ Rows of the tables here, by step:
    verified once. The suffix filter bounds the sets' difference from below by the
    classes of a hash in which the sets hold an odd number of shingles;
 4. shingles whose sets are still in several components have all pairs between
-   components verified, so nothing is lost however large a group is.
+   components verified, so no component falls apart however large a group is.
+
+Links inside a component are counted by ``link_counts``: every two sets of a
+component meet once, in cells of bounded size.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ _CHUNK = 1 << 13
 NEIGHBOURS = 3
 #: Longs that hold the parities of a set's 64 * SIGNATURE hash classes.
 SIGNATURE = 16
+#: Sets and shingles of a block, two of which meet in one cell when links are counted.
+BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
 #: Bits of the filter that spares scanning documents without candidates (1 MB).
 BLOOM_BITS = 23
 
@@ -204,6 +209,61 @@ def _verify(percent: int):
     return run
 
 
+def _count(percent: int):
+    """(set_id, links) of each cell: pairs of its two blocks that reach the threshold, weighed by the other set's copies."""
+    schema = pa.schema([("set_id", pa.int64()), ("links", pa.int64())])
+
+    def cell(key: tuple, parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(parts)
+        ids, copies, block = (rows.column(c).to_numpy() for c in ("set_id", "copies", "block"))
+        sets = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in rows.column("shingles")]
+        sizes, links = np.array([len(u) for u in sets]), np.zeros(len(ids), dtype=np.int64)
+        left, right = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        if len(left) and len(right):
+            tokens, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), sizes[right])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for x, i in enumerate(left):
+                first = np.searchsorted(tokens, sets[i], "left")
+                reps = np.searchsorted(tokens, sets[i], "right") - first
+                at = np.repeat(first - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
+                good = np.bincount(owner[at], minlength=len(right)) >= -(-percent * (sizes[i] + sizes[right]) // (100 + percent))
+                if key[1] == key[2]:
+                    good[: x + 1] = False
+                links[i] += copies[right[good]].sum()
+                links[right[good]] += copies[i]
+        return ids[links > 0], links[links > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells() -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+            key, held = None, []
+            for batch in batches:
+                keys = np.stack([batch.column(c).to_numpy() for c in ("component_id", "lo", "hi")])
+                cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(batch)] if len(batch) else []):
+                    if held and tuple(keys[:, a]) != key:
+                        yield key, held
+                        held = []
+                    key = tuple(keys[:, a])
+                    held.append(batch.slice(a, b - a))
+            if held:
+                yield key, held
+
+        ids, links, n = [], [], 0
+        for key, parts in cells():
+            found = cell(key, parts)
+            ids.append(found[0])
+            links.append(found[1])
+            n += len(found[0])
+            if n > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, links)], schema=schema)
+                ids, links, n = [], [], 0
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, links)], schema=schema)
+
+    return run
+
+
 def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text, ...)``.
 
@@ -216,12 +276,45 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     component it then shares. Rows that repeat a doc_id are one node and each
     stays in the result. Other columns are ignored.
     """
-    small_batches(spark)
     work = Workspace(spark, "ngram-join")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, named = _named(spark, _texts(docs), width, percent, work)
+    return rows.join(named.drop("copies", "n"), "set_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def link_counts(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``: the rows of ``link``, and how many other rows each links with directly.
+
+    Rows of equal sets link. Rows without a doc_id are not counted by others;
+    their own ``n_links`` is 0 unless their set has another row.
+    """
+    work = Workspace(spark, "ngram-links")
+    texts = _texts(docs)
+    rows, named = _named(spark, texts, width, percent, work)
+    named = work.save(named, "named")
+    several = named.where("component_id is not null").groupBy("component_id").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    several = several.select("component_id", F.expr(f"greatest(ceil(sets / {BLOCK_SETS}), ceil(shingles / {BLOCK_SHINGLES}))").alias("blocks"))
+    members = work.save(named.join(several, "component_id").select("set_id", "component_id", "copies", "blocks", F.expr("pmod(xxhash64(set_id), blocks)").alias("block")), "members")
+    bits = spark.sparkContext.broadcast(_bloom(members))
+    arrays = texts.select("text").mapInArrow(_arrays(width, bits), "set_id long, shingles binary").repartition(F.col("set_id")).dropDuplicates(["set_id"])
+    cells = F.explode(F.expr("transform(sequence(0L, blocks - 1), k -> struct(least(k, block) AS lo, greatest(k, block) AS hi))"))
+    spread = arrays.join(members, "set_id").select("component_id", "set_id", "copies", "block", "shingles", cells.alias("cell")).select("component_id", "cell.lo", "cell.hi", "set_id", "copies", "block", "shingles")
+    met = spread.repartition(F.col("component_id"), F.col("lo"), F.col("hi")).sortWithinPartitions("component_id", "lo", "hi")
+    links = met.mapInArrow(_count(percent), "set_id long, links long").groupBy("set_id").agg(F.sum("links").alias("links"))
+    found = rows.join(named.select("set_id", "component_id", "copies"), "set_id", "left").join(work.save(links, "counts"), "set_id", "left")
+    n_links = F.col("copies") - F.col("doc_id").isNotNull().cast("long") + F.coalesce("links", F.lit(0))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, set_id`` of every row, and ``set_id, component_id, copies, n`` of every set; copies are its rows with an id."""
+    small_batches(spark)
     measured = work.save(texts.mapInArrow(_measure(width), "doc_id long, n int, set_id long, signature array<long>, chunk int, counts binary"), "measured")
     rows = measured.where("chunk is null").select("doc_id", "n", "set_id")
-    sets = measured.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"))
+    sets = measured.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.count("doc_id").alias("copies"), F.max("n").alias("n"))
     sets = work.save(sets, "sets")
     sign = sets.select("set_id", "signature")
     table = spark.sparkContext.broadcast(_frequencies(measured))
@@ -274,8 +367,8 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     name = sets.where("rep is not null")
     edges = links.join(name.select(F.col("set_id").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("set_id").alias("b"), F.col("rep").alias("rb")), "b")
     # a doc_id that repeats with other texts ties those texts' sets together
-    ties = rows.where("n > 0").join(sets, "set_id").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1"))
+    ties = rows.where("n > 0").join(sets.select("set_id", "rep"), "set_id").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1"))
     repeated = ties.where("r0 < r1").select(F.col("r0").alias("a"), F.col("r1").alias("b"))
     whole = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(repeated), work)
-    named = sets.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "set_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = sets.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"), "copies", "n")
+    return rows, named

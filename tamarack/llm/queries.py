@@ -53,6 +53,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op6_ngram_jaccard_join`` and the number of each document's links."""
+    return ngram_join.link_counts(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "op7").path("archives")
     warc.write(spark, table(spark, sf_dir, "pages"), path)
@@ -83,6 +88,7 @@ QUERIES = {
         op4_secret_scans,
         op5_token_files,
         op6_ngram_jaccard_join,
+        op6_ngram_link_counts,
         op7_warc,
         op8_sentencepiece,
         op9_token_counts,
@@ -136,3 +142,7 @@ ORACLE_SQL = {
         FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
     """,
 }
+
+ORACLE_SQL["op6_ngram_link_counts"] = ORACLE_SQL["op6_ngram_jaccard_join"].replace(
+    "n_shingles, c.component_id\n        FROM s", "n_shingles, c.component_id, coalesce(n.n_links, 0) AS n_links\n        FROM s LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) n USING (doc_id)"
+)

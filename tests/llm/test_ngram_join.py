@@ -77,3 +77,45 @@ def test_repeated_rows_ids_and_empty_tables(spark):
 def test_long_text(spark):
     t = " ".join(f"k{i}" for i in range(200_000))
     assert run(spark, [(1, t), (2, t + " more"), (3, "x" * 3_000_000)]) == [(1, 199_996, 1), (2, 199_997, 1), (3, 1, 3)]
+
+
+def brute_links(rows, percent=75):
+    sets = [(i, expected(t, 5)) for i, t in rows]
+    near = lambda x, y: x and y and 100 * len(x & y) >= percent * len(x | y)
+    return sorted((i, sum(a != k and bool(near(x, y)) for a, (_, y) in enumerate(sets))) for k, (i, x) in enumerate(sets))
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_every_link_of_a_large_group_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    r = random.Random(11)
+    rows = [(900, ""), (901, None), (902, "alone in the world of words")]
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(80)]
+        for k in range(40):
+            t = list(base)
+            for _ in range(r.choice([0, 1, 2, 3])):
+                t[r.randrange(80)] = f"x{r.randrange(1000)}"
+            rows.append((100 * g + k, " ".join(t)))
+    got = ngram_join.link_counts(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.n_links) for x in got) == brute_links(rows)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute(rows)
+
+
+def test_links_of_rows_without_id(spark):
+    t = " ".join(f"t{k}" for k in range(40))
+    got = ngram_join.link_counts(spark, spark.createDataFrame([(None, t), (5, t), (6, t + " z"), (None, "x")], "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.n_links) for x in got) == [(0, 0), (0, 2), (5, 1), (6, 1)]
+    assert ngram_join.link_counts(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_link_counts_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tamarack.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = db.execute(queries.ORACLE_SQL["op6_ngram_link_counts"]).fetchall()
+    rows = queries.op6_ngram_link_counts(spark, sf).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, rows)) == sorted(want) and any(x.n_links for x in rows)
