@@ -85,7 +85,8 @@ def load_all(dfs: dict[str, DataFrame], target: str) -> tuple[DataFrame, dict[st
     """Loads every table and returns the summary and the loaded tables.
 
     A table without rows or columns is skipped with a warning; one table's failure
-    does not stop the others. Summary: ``table_name, rows_loaded, columns, status, error``.
+    does not stop the others. Loaded tables are read with the schema of their own
+    files, so a column that is missing there is missing here. Summary: ``table_name, rows_loaded, columns, status, error``.
     """
     spark = next(iter(dfs.values())).sparkSession
     rows, loaded = [], {}
@@ -95,7 +96,7 @@ def load_all(dfs: dict[str, DataFrame], target: str) -> tuple[DataFrame, dict[st
                 rows.append((table, 0, len(df.columns), "skipped", "no rows or no columns"))
                 continue
             load_table(df, target, table)
-            loaded[table] = spark.read.schema(df.schema).parquet(f"{target}/{table.lower()}")
+            loaded[table] = spark.read.parquet(f"{target}/{table.lower()}")
             rows.append((table, loaded[table].count(), len(df.columns), "loaded", None))
         except Exception as e:  # noqa: BLE001  reported as the table's status
             rows.append((table, 0, len(df.columns), "failed", str(e)[:500]))

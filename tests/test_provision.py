@@ -5,7 +5,7 @@ from tamarack.operators import subset
 from tamarack.operators.subset import Link
 from tamarack.plans import provision
 from tamarack.plans.provision import Request
-from tamarack.sources import generate
+from tamarack.sources import generate, tables
 
 KEYS = {"stg_business_entity": ["business_id"], "business_credit_score": ["bus_nbr"], "business_address_match": ["addr_match_nbr"], "etl_cyc_ctl": ["etl_cyc_id"], "etl_src_ctl": ["etl_cyc_id"]}
 THREE = ("stg_business_entity", "business_credit_score", "business_address_match")
@@ -44,6 +44,15 @@ def test_whole_job(spark, made, tmp_path):
     assert {r.bus_nbr for r in run.masked["business_credit_score"].collect()} == names
 
 
+@pytest.mark.parametrize("loses, check", [(lambda df: df.limit(7), "row_count"), (lambda df: df.drop("cr_risk_pct"), "column_existence")])
+def test_a_load_that_loses_rows_or_columns_fails_its_check(spark, made, tmp_path, monkeypatch, loses, check):
+    load = tables.load_table
+    monkeypatch.setattr(tables, "load_table", lambda df, target, table: load(loses(df), target, table))
+    run = provision.run(spark, Request(("business_credit_score",), record_count=20), made, KEYS, str(tmp_path))
+    assert [r.check_name for r in run.checks.where("not passed").collect()] == [check]
+    assert run.status == "partial" and provision.run_summary(spark, run).first().validation_status == "PARTIAL"
+
+
 def test_protected_keys_and_lengths(spark, made):
     request = Request(("business_address_match",), record_count=5, protect_keys=True, truncate=True, skip_provisioning=True)
     run = provision.run(spark, request, made, KEYS)
