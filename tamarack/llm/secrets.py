@@ -29,8 +29,6 @@ WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: A random run: nats in all, nats a character, and distinct characters.
 MIN_LLR, MIN_MEAN, MIN_DISTINCT = 12.0, 0.3, 8
-#: Documents that the samples are drawn from at most: those with the smallest hashes of their id.
-MAX_TRAIN_DOCS = 2_000
 SPAN = "array<struct<kind:string,start:int,end:int,value:int>>"
 _PLACE = np.full(128, -1, dtype=np.int64)
 _PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -53,11 +51,13 @@ class Model:
 
 def transitions(samples: list[str]) -> np.ndarray:
     """Counts of (character before, character) with the start as the last row."""
-    out = np.zeros((len(ALPHABET) + 1, len(ALPHABET)))
-    for s in samples:
-        at = _PLACE[np.frombuffer(s.encode("ascii"), dtype=np.uint8)]
-        np.add.at(out, (np.concatenate([[len(ALPHABET)], at[:-1]]), at), 1)
-    return out
+    n, joined = len(ALPHABET), "".join(samples)
+    at = _PLACE[np.frombuffer(joined.encode("ascii"), dtype=np.uint8)]
+    before = np.empty_like(at)
+    before[1:] = at[:-1]
+    starts = np.cumsum([0, *map(len, samples)])
+    before[starts[starts < len(at)]] = n
+    return np.bincount(before * n + at, minlength=(n + 1) * n).reshape(n + 1, n).astype(float)
 
 
 def fit(random: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5) -> Model:
@@ -72,8 +72,8 @@ def identifiers(words: list[str]) -> list[str]:
     return [x for a, b, c in three for x in (f"{a}_{b}_{c}".lower(), a.lower() + b.title() + c.title(), f"/{a}/{b}.{c}")]
 
 
-def learn(spark: SparkSession, docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Both models from samples of at most ``max_docs`` documents.
+def learn(spark: SparkSession, docs: DataFrame) -> Model:
+    """Both models from all documents.
 
     Random strings: the values that the fixed patterns find there, and digests of
     the documents' ids in hexadecimal, base 64 and its letters and digits.
@@ -82,24 +82,22 @@ def learn(spark: SparkSession, docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS)
     transition counts (two small matrices) reach the driver.
     """
     small_batches(spark)
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids.distinct()), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digest = F.sha2(F.col("doc_id").cast("string"), 512)
     short, long = F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))), F.base64(F.unhex(digest))
     made = F.array(F.substring(digest, 1, 40), F.substring(long, 1, 40), F.substring(F.regexp_replace(short, "[+/=]", ""), 1, 24), F.upper(F.substring(F.regexp_replace(long, "[+/=]", ""), 1, 20)))
+    made = F.when(F.col("doc_id").isNotNull(), made).otherwise(F.array().cast("array<string>"))  # nothing to digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)))
         for batch in batches:
-            good, bad = [], []
-            for text, made in zip(batch.column("text").to_pylist(), batch.column("made").to_pylist()):
-                good += made
-                base = base_spans(text)
-                good += [text[v:e] for _, _, e, v in base]
-                bad += identifiers(re.findall("[A-Za-z]+", text))
-                bad += [m[0] for m in WORDS.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)]
-            for y, counts in ((1, transitions(good)), (0, transitions(bad))):
-                i, j = counts.nonzero()
-                yield pa.RecordBatch.from_pydict({"y": pa.array([y] * len(i), pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "c": pa.array(counts[i, j], pa.float64())})
+            for text, made in zip(batch.column("text"), batch.column("made")):
+                text, base = text.as_py(), base_spans(text.as_py())
+                total[1] += transitions(made.as_py() + [text[v:e] for _, _, e, v in base])
+                total[0] += transitions(identifiers(re.findall("[A-Za-z]+", text)))
+                total[0] += transitions([m[0] for m in WORDS.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)])
+        y, i, j = total.nonzero()
+        yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "c": pa.array(total[y, i, j], pa.float64())})
 
     counts = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)))
     for r in rows.select("text", made.alias("made")).mapInArrow(run, "y int, i int, j int, c double").groupBy("y", "i", "j").agg(F.sum("c").alias("c")).collect():

@@ -74,3 +74,12 @@ def test_redaction(spark, docs):
 
 def test_empty_table(spark, docs):
     assert secrets.scanned(spark, docs.where("false")).count() == 0
+
+
+def test_names_of_every_document_are_learned(spark):
+    name, n = "QxZjWqKvXzJbQxZjWqKvXzJb", 2100
+    ids = [r.id for r in spark.range(n).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    rows = [(k, "reader of the nations " * 5 + (name if at >= 2000 else "")) for at, k in enumerate(ids)] + [(None, "no id here"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    without = secrets.learn(spark, docs.where(f"not contains(text, '{name}')"))
+    assert secrets.learn(spark, docs).llr(name)[0] < without.llr(name)[0] - 10
