@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarack.llm.workspace import Workspace, small_batches
@@ -25,64 +28,170 @@ from tamarack.llm.workspace import Workspace, small_batches
 END_ID = 2
 MAX_LENGTH = 18
 BLOCK_TOKENS, INTERVAL = 1 << 18, 256
-#: Words of each of a Python worker's two generations, texts tokenized at once, and words in one call: bounds its memory.
-CACHE_WORDS, GROUP, LINE = 150_000, 256, 100
+#: Bounds of a Python worker's memory: bytes of texts tokenized together, words that it remembers and their length.
+TEXT_BYTES, KNOWN_WORDS, WORD_BYTES = 12 << 20, 1_000_000, 64
+#: Words of a line that is tokenized at once, and lines or characters given to the library in one call.
+LINE, CALL_LINES, CALL_CHARS = 100, 200, 200_000
+#: The parts of the tokenizer file for which ``Encoder`` cuts words.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+WORD_END = "</w>"
+SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: By code point: letters that stay one letter when composed and lower-cased.
+SAFE = np.array([c.isalpha() and len(c.lower()) == 1 and c.lower().isalpha() and all(unicodedata.normalize("NFC", x) == x for x in (c, c.lower())) for c in map(chr, range(0x530))] + [False])
 BLOCK_SCHEMA = "part int, start long, doc_ids array<long>, sizes array<int>, checkpoints array<long>, payload binary"
 
 
-class _Words(dict):
-    """Ids of words as bytes, in two generations of bounded size; ``fill`` tokenizes those that are missing.
+class _Known:
+    """Ids of words, side by side in Arrow arrays. A table that is full keeps the words of the batch at hand."""
 
-    The vocabulary splits between letters and other characters and lower-cases, so
-    a letter's full stop or comma is tokenized apart, and ASCII words in lower case.
+    def __init__(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+    def get(self, words: pa.Array, make: Callable[[pa.Array], pa.Array]) -> pa.Array:
+        at = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(at)
+        new = words.filter(missing)
+        place = np.array(pc.fill_null(at, 0), dtype=np.int64)
+        place[np.array(missing)] = len(self.words) + np.arange(len(new))
+        ids = pa.concat_arrays([self.ids, make(new)])
+        out = ids.take(pa.array(place))
+        self.words, self.ids = (pa.concat_arrays([self.words, new]), ids) if len(ids) <= KNOWN_WORDS else (words, out)
+        return out
+
+
+class Encoder:
+    """Ids of whole texts with the end id, as the tokenizers library gives them.
+
+    A tokenizer whose parts are those of ``NORMALIZER`` and ``SPLIT`` (with added
+    tokens that hold ``<`` and no white space) treats these pieces apart:
+
+    * words between spaces, tabs and line breaks: no token holds white space, no
+      character composes with it, and lower-casing looks at one character;
+    * a word's ASCII signs at its end after a letter of ``SAFE``: the scan looks at
+      nothing behind it, a token that holds a letter takes no sign after it, and
+      such a letter stays one letter when it is composed and lower-cased.
+
+    ASCII words without ``<`` are looked up in lower case. Each piece is then
+    tokenized once a batch and the frequent ones are remembered. With any other
+    tokenizer whole texts are tokenized.
     """
 
     def __init__(self, spec: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.old = Tokenizer.from_str(spec), kind, {}
-        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.tokenizer, self.kind = Tokenizer.from_str(spec), kind
+        self.apart = cuts_words(spec)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
-        if suffix:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-
-    def _plain(self, word: str) -> tuple[str, str]:
-        end = word[-1:] if word[-1:] in (".", ",") and word[-2:-1].isalpha() and word[-2] < "\u0530" else ""
-        stem = word[: len(word) - len(end)]
-        return (stem.lower() if stem.isascii() and "<" not in stem else stem), end
-
-    def fill(self, words: set[str]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        new = words.difference(self)
-        self.update((w, self.old[w]) for w in new if w in self.old)
-        new.difference_update(self)
-        plain = {w: self._plain(w) for w in new}
-        todo = list({x for two in plain.values() for x in two}.difference(self))
-        letters = [w for w in todo if w.isalpha()] if self.ends.any() else []
-        rest = [w for w in todo if not w.isalpha()] if letters else todo
-        lines = [letters[k : k + LINE] for k in range(0, len(letters), LINE)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast(list(map(" ".join, lines)), add_special_tokens=False)):
-            ids = np.array(e.ids, dtype=self.kind)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(line):
-                raw, size = ids.tobytes(), ids.itemsize
-                cuts = [0, *(ends * size).tolist()]
-                self.update(zip(line, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
-            else:  # a few letters decompose into more than letters
-                rest += line
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
-            self.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        self.update((w, self[stem] + self[end]) for w, (stem, end) in plain.items())
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)  # ids that end a letters' run
+        if self.apart:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.known = _Known()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; so many characters at once that the library's results stay small."""
+        out, part, size = [], [], 0
+        for k, t in enumerate(texts, 1):
+            part.append(t)
+            size += len(t)
+            if size > CALL_CHARS or k == len(texts):
+                out += [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                part, size = [], 0
+        return out
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces. Runs of letters share calls, as the ids that end them tell them apart."""
+        alpha = np.array(pc.utf8_is_alpha(pieces), dtype=bool)
+        letters, alone = np.flatnonzero(alpha), [np.flatnonzero(~alpha)]
+        found, order = [], []
+        lines = pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(letters), LINE), len(letters)), pa.int32()), pieces.take(pa.array(letters)))
+        joined = pc.binary_join(lines, " ").to_pylist()
+        for k in range(0, len(joined), CALL_LINES):
+            for i, e in enumerate(self.tokenizer.encode_batch_fast(joined[k : k + CALL_LINES], add_special_tokens=False), k):
+                words, ids = letters[i * LINE : (i + 1) * LINE], np.array(e.ids, dtype=self.kind)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) == len(words):
+                    found.append(pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.append(0, stops * ids.itemsize)), pa.py_buffer(ids)]))
+                    order.append(words)
+                else:  # a few letters become more than letters
+                    alone.append(words)
+        alone = np.concatenate(alone)
+        found.append(pa.array(self._each(pieces.take(pa.array(alone)).to_pylist()), pa.large_binary()))
+        places = np.empty(len(pieces), dtype=np.int64)
+        places[np.concatenate([*order, alone])] = np.arange(len(pieces))
+        return pa.concat_arrays(found).take(pa.array(places))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        stems, tails = cut(words)
+        n, both = len(words), pa.concat_arrays([stems, tails]).dictionary_encode()
+        short = pc.less_equal(pc.binary_length(both.dictionary), WORD_BYTES)
+        if pc.all(short).as_py():
+            ids = self.known.get(both.dictionary, self._pieces)
+        else:  # long ones are not remembered
+            long = pc.invert(short)
+            order = np.concatenate([np.flatnonzero(short), np.flatnonzero(long)])
+            rare = pa.array(self._each(both.dictionary.filter(long).to_pylist()), pa.large_binary())
+            ids = pa.concat_arrays([self.known.get(both.dictionary.filter(short), self._pieces), rare]).take(pa.array(np.argsort(order)))
+        ids = ids.take(both.indices)
+        return pc.binary_join_element_wise(ids.slice(0, n), ids.slice(n), pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        texts, end = pc.fill_null(texts.cast(pa.string()), ""), np.array([END_ID], dtype=self.kind).tobytes()
+        if not self.apart:
+            return pa.array([x + end for x in self._each(texts.to_pylist())], pa.large_binary())
+        for c in "\n\t\r":
+            texts = pc.replace_substring(texts, c, " ")
+        lists = pc.split_pattern(texts, " ")
+        bounds = np.array(lists.offsets, dtype=np.int64)
+        words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        bounds -= bounds[0]
+        ids = pa.concat_arrays([self._words(words.dictionary), pa.array([end], pa.large_binary())])
+        joined = ids.take(pa.array(np.insert(words.indices.to_numpy(), bounds[1:], len(ids) - 1)))
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[joined.offset :][bounds + np.arange(len(bounds))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), data])
+
+
+def cuts_words(spec: str) -> bool:
+    """Whether a tokenizer file's parts are such that ``Encoder`` may cut words."""
+    d = json.loads(spec)
+    model = d["model"]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    added = all("<" in t["content"] and not any(c.isspace() for c in t["content"]) and not any(t[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in d["added_tokens"])
+    return plain and added and d["normalizer"] == NORMALIZER and d["pre_tokenizer"] == SPLIT and not d["truncation"]
+
+
+def cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Each word's stem and its tail of ASCII signs, empty where they can't be told apart."""
+    words = pa.concat_arrays([words, pa.array([], pa.string())])  # offsets start at 0
+    special = pc.match_substring(words, "<")
+    trimmed = pc.ascii_rtrim(words, SIGNS)
+    off = np.frombuffer(words.buffers()[1], dtype=np.int32)[: len(words) + 1].astype(np.int64)
+    buf = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    size = np.array(pc.binary_length(trimmed), dtype=np.int64)
+    before = np.maximum(off[:-1] + size - 1, 0)  # the last byte of a letter
+    last = buf[before].astype(np.int64) if len(buf) else before
+    lead = buf[np.maximum(before - 1, 0)].astype(np.int64) if len(buf) else before
+    point = np.where(last < 128, last, np.where(lead & 0xE0 == 0xC0, (lead & 0x1F) << 6 | last & 0x3F, 0))
+    good = (size > 0) & (size < np.diff(off)) & SAFE[np.minimum(point, len(SAFE) - 1)] & ~np.array(special, dtype=bool)
+    lengths = np.where(good, np.diff(off) - size, 0)
+    ends = np.cumsum(lengths)
+    tail = buf[np.repeat(off[1:] - ends, lengths) + np.arange(lengths.sum())]
+    tails = pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(tail)])
+    stems = pc.if_else(pa.array(good), trimmed, words)
+    return pc.if_else(pc.and_not(pc.string_is_ascii(stems), special), pc.ascii_lower(stems), stems), tails
 
 
 @lru_cache(maxsize=1)
-def _words(spec: str, kind: str) -> _Words:
-    return _Words(spec, kind)
+def _encoder(spec: str, kind: str) -> Encoder:
+    return Encoder(spec, kind)
 
 
 def _spec(path: str | None) -> tuple[str, str]:
@@ -91,30 +200,43 @@ def _spec(path: str | None) -> tuple[str, str]:
 
     with open(path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         text = f.read()
-    return text, "<u2" if Tokenizer.from_str(text).get_vocab_size() <= 1 << 16 else "<u4"
+    return text, "<u2" if max(Tokenizer.from_str(text).get_vocab().values(), default=0) < 1 << 16 else "<u4"
 
 
-def tokenize(spark: SparkSession, text: Column, spec: str, kind: str) -> Column:
-    """Ids of each whole text, then ``END_ID``, as integers of the given type (``binary``).
+def _tokenize(shared: Broadcast, kind: str):
+    """(doc_id, ids) of each row, ``TEXT_BYTES`` of texts at once, and at the task's end how often it has seen each id."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("seen", pa.list_(pa.int32())), ("times", pa.list_(pa.int64()))])
 
-    The vocabulary drops white space before it splits words, so the words between
-    spaces and line feeds are tokenized apart and their ids kept. Null texts are empty.
-    """
-    shared = spark.sparkContext.broadcast(spec)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, total, held, size = _encoder(shared.value, kind), np.zeros(0, dtype=np.int64), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal total
+            table = pa.Table.from_batches(held).combine_chunks()
+            texts = table.column("text").chunk(0)
+            ids = encoder.encode(texts)
+            got = np.bincount(np.frombuffer(ids.buffers()[2] or b"", dtype=kind), minlength=len(total))
+            got[: len(total)] += total
+            total = got
+            for k in range(0, len(texts), 1000):
+                part = ids.slice(k, 1000)
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([table.column("doc_id").chunk(0).slice(k, m), part.cast(pa.binary()), pa.nulls(m, schema.types[2]), pa.nulls(m, schema.types[3])], schema=schema)
 
-    @F.arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _words(shared.value, kind)
-        end = np.array([END_ID], dtype=kind).tobytes()
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), GROUP):
-                words = [(t or "").replace("\n", " ").split(" ") for t in batch[at : at + GROUP].to_pylist()]
-                known.fill(set().union(*words))
-                out += [b"".join([*map(known.__getitem__, w), end]) for w in words]
-            yield pa.array(out, pa.binary())
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column("text").nbytes
+            if size > TEXT_BYTES:
+                yield from out()
+                held, size = [], 0
+        if held:
+            yield from out()
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], schema.types[2]), pa.array([total[seen]], schema.types[3])], schema=schema)
 
-    return run(text)
+    return run
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_LENGTH) -> np.ndarray:
@@ -199,28 +321,17 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndar
 
 
 def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Tokenizes ``docs(doc_id, text)`` and writes the dataset, ordered by doc_id (null first, ties by their ids).
+    """Tokenizes ``docs(doc_id, text)`` and writes the dataset, ordered by doc_id (null first, ties by their ids' hash).
 
-    Only the counts of the vocabulary's ids reach the driver.
+    Null texts are empty: they have the end id only. Rows that repeat all stay.
+    Other columns are ignored, an empty table gives empty files. Only the counts of the vocabulary's ids reach the driver.
     """
     small_batches(spark)
     work = Workspace(spark, "token-files")
     spec, kind = _spec(tokenizer)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokenize(spark, F.col("text").cast("string"), spec, kind).alias("ids"))
-    ids = work.save(texts, "ids")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for row in batch.column("ids"):
-                got = np.bincount(np.frombuffer(row.as_buffer(), dtype=kind))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, max(len(got), 2 * len(total)) - len(total)))
-                total[: len(got)] += got
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
-
-    found = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tokens = work.save(texts.mapInArrow(_tokenize(spark.sparkContext.broadcast(spec), kind), "doc_id long, ids binary, seen array<int>, times array<long>"), "ids")
+    found = tokens.where("seen is not null").select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.times").alias("n")).collect()
     counts = np.zeros(max((r.id for r in found), default=0) + 1, dtype=np.int64)
     for r in found:
         counts[r.id] = r.n
@@ -251,9 +362,12 @@ def write(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str | None
         if held:
             yield block()
 
-    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    ordered.withColumn("part", F.spark_partition_id()).mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
-    work.drop(ids)
+    # rows of one id, or of none, may be many: their ids' hash and then their place deal them out
+    ids = tokens.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("at"))
+    keys = [F.col("doc_id").asc_nulls_first(), "h", "at"]
+    ordered = ids.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(encode, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    work.drop(tokens)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

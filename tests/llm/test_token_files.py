@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -91,3 +92,54 @@ def test_many_blocks_repeats_and_nulls(spark, tmp_path, monkeypatch):
 def test_empty_table(spark, tmp_path):
     tf.write(spark, spark.createDataFrame([], "doc_id long, text string"), f"{tmp_path}/d")
     assert tf.read(spark, f"{tmp_path}/d").count() == 0
+
+
+PARTS = [*"abcXYZ .,!?'\"-<|>&%#019_\n\t\r", "İ", "ı", "Σ", "ς", "ß", "é", "É", "é", "É", "́", "क़", "क़", "K", "ﬁ", "日", "한", "ᄀ", "ᅡ", " ", "　", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "ǰ", "J̌", "🙂", "٣", "Ⅷ"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_equal_the_library(name):
+    r = random.Random(5)
+    texts = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 14))) for _ in range(20_000)] + ["x" * 200 + "." + "é" * 90, "hello world", "İ.", "İ,", "naïve..."]
+    spec, kind = tf._spec(public_tokenizers.path(name))
+    encoder = tf.Encoder(spec, kind)
+    assert encoder.apart == (name == "word_bpe_49k.json")
+    want = [np.array([*e.ids, tf.END_ID], dtype=kind).tobytes() for e in Tokenizer.from_str(spec).encode_batch(texts, add_special_tokens=False)]
+    for part in (slice(0, 9_000), slice(9_000, None)):  # the second meets words that the first left
+        assert encoder.encode(pa.array(texts)[part]).to_pylist() == want[part]
+
+
+def test_every_letter_before_a_stop():
+    spec, kind = tf._spec(None)
+    encoder = tf.Encoder(spec, kind)
+    texts = [f"a{c}{s}" for c in map(chr, range(33, 0x3400)) if c.isalpha() for s in (".", ",", "'s", "...", "≠")]
+    want = [np.array([*e.ids, tf.END_ID], dtype=kind).tobytes() for e in TOKENIZER.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(pa.array(texts)).to_pylist() == want
+
+
+def test_a_full_table_of_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tf, "KNOWN_WORDS", 5)
+    spec, kind = tf._spec(None)
+    encoder = tf.Encoder(spec, kind)
+    for k in range(20):
+        text = f"one two three word{k} word{k + 1}, four."
+        assert encoder.encode(pa.array([text, None])).to_pylist() == [np.array([*TOKENIZER.encode(t, add_special_tokens=False).ids, tf.END_ID], dtype=kind).tobytes() for t in (text, "")]
+
+
+def test_another_tokenizer_file(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tf.write(spark, spark.createDataFrame([(1, "hello world"), (2, None)], "doc_id long, text string"), f"{tmp_path}/d", path)
+    got = {r.doc_id: r.ids for r in tf.read(spark, f"{tmp_path}/d").collect()}
+    assert got == {1: [*Tokenizer.from_file(path).encode("hello world", add_special_tokens=False).ids, 2], 2: [2]}
+
+
+def test_many_rows_without_an_id_spread_over_files(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("cast(null AS long) AS doc_id", "'same words' AS text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tf.write(spark, docs, f"{tmp_path}/d")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(f"{tmp_path}/d/blocks").groupBy("part").count().count()
+    got = tf.read(spark, f"{tmp_path}/d", with_ids=False)
+    assert files > 1 and got.count() == 4000 and got.select("start").distinct().count() == 4000
