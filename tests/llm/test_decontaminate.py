@@ -59,7 +59,7 @@ def test_equals_brute_force(spark):
     got = run(spark, docs, items)
     for i, t in items:
         m = norm(t).strip()
-        budget = min(int(len(m) * d.EDIT_RATE), (len(m) - d.Q) // d.Q)
+        budget = int(len(m) * d.EDIT_RATE)
         for k, text in docs:
             best = distance(m, norm(text or ""))
             assert ((k, i) in got) == (best <= budget), (k, i, best, budget)
@@ -80,7 +80,7 @@ def test_places_are_code_points(spark):
 def test_edges(spark):
     long = words(40)
     assert run(spark, [], [(1, long)]) == run(spark, [(1, long)], []) == {}
-    assert run(spark, [(1, long)], [(1, None), (2, ""), (3, "short")]) == {}
+    assert run(spark, [(1, long)], [(1, None), (2, ""), (3, " ?! ")]) == {}
     got = run(spark, [(1, words(30_000) + " " + long), (1, long)], [(5, long), (None, long)])
     assert set(got) == {(1, 5), (1, None)}
     docs = spark.createDataFrame([(1, long), (1, long), (None, long)], "doc_id long, text string")
@@ -104,7 +104,7 @@ def test_common_qgrams_are_counted_in_parts(spark, monkeypatch):
     raw = [np.frombuffer(t.encode(), dtype=np.uint8) for _, t in docs]
     off = np.cumsum([0, *map(len, raw)])
     index = d.Index.build(items)
-    parts = {(docs[r][0], index.ids[i]): (docs[r][0], index.ids[i], e, s, t) for r, i, e, s, t in d._matches(np.concatenate(raw), off, index, index.filter(), d.Q)}
+    parts = {(docs[r][0], index.ids[i]): (docs[r][0], index.ids[i], e, s, t) for r, i, e, s, t in d._matches(np.concatenate(raw), off, index)}
     assert parts == whole and set(whole) >= {(k, k) for k in range(15)}
 
 
@@ -114,3 +114,40 @@ def test_alignment_in_a_band(k):
     a, b = np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8)
     edits, end = d.align(a, b, -len(a), len(b))
     assert edits == distance(item, text) and distance(item, text[:end]) == edits
+
+
+def test_short_passages_equal_brute_force(spark):
+    letters = "abc d"
+    items = [(m * 10 + k, "".join(R.choice(letters) for _ in range(m))) for m in range(1, 31) for k in range(3)]
+    docs = []
+    for k in range(80):
+        t = R.choice(items)[1]
+        docs.append((k, "".join(R.choice("abcd ") for _ in range(R.randint(0, 30))) + edited(t, R.choice([0, 0, 1, 2])) + R.choice(["", " bd", "!"])) if len(t) > 2 else (k, t))
+    got = run(spark, docs, items)
+    found = 0
+    for i, t in items:
+        m = norm(t).strip()
+        for k, text in docs:
+            best = distance(m, norm(text)) if m else 99
+            assert ((k, i) in got) == (best <= int(len(m) * d.EDIT_RATE)), (k, i, t, text, best)
+            if (k, i) in got:
+                found += 1
+                assert got[k, i].edits == best and distance(m, norm(text[got[k, i].start : got[k, i].end])) == best
+    assert found > 200
+
+
+def test_letters_of_two_bytes_match_in_either_case(spark):
+    item = "ÉTUDE ÜBER ÑANDÚ ΑΘΗΝΑ МОСКВА İSTANBUL ŒUVRE"
+    got = run(spark, [(1, "— étude über ñandú αθηνα москва İstanbul œuvre ")], [(1, item)])
+    assert got[1, 1].edits == 0
+
+
+def test_many_repeats_of_one_passage(spark, monkeypatch):
+    text = words(30)
+    items = spark.range(10_000).selectExpr("id AS item_id", f"'{text}' AS text")
+    monkeypatch.setattr(d, "BLOCK_CHARS", 5000)
+    built = []
+    real = d.Index.build.__func__
+    monkeypatch.setattr(d.Index, "build", classmethod(lambda cls, rows, *a: built.append(len(rows)) or real(cls, rows, *a)))
+    docs = spark.createDataFrame([(1, "x " + text), (2, "nothing of it")], "doc_id long, text string")
+    assert d.contaminated(spark, docs, items).count() == 10_000 and built == [1]
