@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -26,7 +26,7 @@ from tamarack.llm.labelled import MAX_TRAIN, fit_logistic, training_rows
 from tamarack.llm.workspace import small_batches
 
 WORD = re.compile(r"\w+")
-#: Terms known beforehand; labelled rows that speak against one remove it.
+#: Terms that a small sample need not prove: each stays unless labelled rows speak against it.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass", "bastard", "asshole", "bitch")
 REPORTING = frozenset("said says called calls wrote writes quoted quote quotes reported reports term word phrase dit disait écrit dijo dice llamó escribió sagte sagt schrieb nannte".split())
 ADDRESS = frozenset("you your youre yours u ur tu te toi ton ta vous votre usted tú du dich dein ihr euch".split())
@@ -34,8 +34,8 @@ QUOTES = "\"“”„«»"
 #: Characters on either side of a hit that are read as its window.
 WINDOW = 60
 STEMS = (4, 5, 6)
-#: Bounds of the lexicon, of fuzzy terms' length and of the words that a worker remembers as clean.
-MAX_TERMS, FUZZY_LENGTH, SEEN_WORDS = 4000, 5, 150_000
+#: Least length of fuzzy terms, and words that a worker remembers as clean at most.
+FUZZY_LENGTH, SEEN_WORDS = 5, 150_000
 MIN_G2, MIN_SHARE, MIN_LEFTS = 20.0, 0.6, 3
 
 
@@ -207,44 +207,47 @@ def _term_counts(rows: DataFrame) -> DataFrame:
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """The lexicon and the weights, from at most ``max_train`` labelled rows (``labelled.training_rows``).
 
-    With no labelled row of one class the seed terms and fixed weights are the model.
+    If they lack a class, nothing can be learned: the lexicon is empty and every
+    text scores about 0, so that none is rejected. Rows that repeat an id's text count
+    each; equal strengths are ordered by term. Every term that passes the tests is
+    in the lexicon: their number follows from the sample's texts.
     """
     small_batches(spark)
     rows = training_rows(docs, labels, "toxic", max_train).cache()
     try:
         total = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
         pos, neg = total.get(1, 0), total.get(0, 0)
-        seeds = {t: 3.0 for t in SEED_TERMS}
         if not pos or not neg:
-            return Model(Lexicon(seeds, frozenset(t for t in seeds if len(t) >= FUZZY_LENGTH)), (0.8, 0.5, 0.1, 0.3, 1.2, 0.5, -3.0))
+            return Model(Lexicon({}, frozenset()), (*[0.0] * 6, -30.0))
         share = pos / (pos + neg)
         counts = _term_counts(rows)
         part, q = F.col("p") / (F.col("p") + F.col("n")), F.lit(share)
         g2 = 2 * (F.col("p") * F.log(part / q) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - part) / (1 - q))).otherwise(0.0))
         strong = counts.where(F.col("p") > 0).withColumn("g2", g2).where((F.col("g2") >= MIN_G2) & (part >= MIN_SHARE) & (F.col("lefts") >= MIN_LEFTS))
-        found = strong.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
+        found = strong.orderBy("term").select("term", "p", "n").collect()
         weights = {r.term: min(6.0, math.log((r.p + 0.5) / (r.n + 0.5) * neg / pos)) for r in found}
         against = {r.term for r in counts.where(F.col("term").isin(list(SEED_TERMS)) & (part < MIN_SHARE)).collect()}
-        weights = {t: w for t, w in seeds.items() if t not in against} | weights
+        weights = {t: 3.0 for t in SEED_TERMS if t not in against} | weights
         lexicon = Lexicon(weights, frozenset(t for t in weights if len(t) >= FUZZY_LENGTH and not t.endswith("*")))
-        shared = spark.sparkContext.broadcast(lexicon)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = Reader(shared.value)
-            for batch in batches:
-                got = [reader.hits(t) for t in batch.column("text").to_pylist()]
-                hit = pa.struct([("t", pa.string()), ("e", pa.int32()), ("q", pa.bool_()), ("a", pa.bool_())])
-                hits = pa.array([[dict(zip("teqa", h)) for h in hs] for _, hs in got], pa.list_(hit))
-                yield pa.RecordBatch.from_arrays([batch.column("y").cast(pa.int32()), pa.array([n for n, _ in got], pa.int64()), hits], names=["y", "words", "hits"])
-
-        seen = rows.mapInArrow(run, "y int, words long, hits array<struct<t:string,e:int,q:boolean,a:boolean>>").collect()
-        edits = {0: Counter(), 1: Counter()}
-        for r in seen:
-            edits[r.y].update({h.t for h in r.hits if h.e})
-        vague = {t for t in edits[0] if edits[0][t] > edits[1][t] + 1}
+
+        def each(lexicon: Lexicon, schema: str, found: Callable[[Reader, str, int], list]) -> DataFrame:
+            """The pairs that ``found`` lists for each row."""
+            shared = spark.sparkContext.broadcast(lexicon)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                reader = Reader(shared.value)
+                for batch in batches:
+                    got = [x for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()) for x in found(reader, t, y)]
+                    yield pa.RecordBatch.from_pylist([dict(zip("yx", x)) for x in got], schema=pa.schema([("y", pa.int32()), ("x", pa.string() if "string" in schema else pa.list_(pa.float64()))]))
+
+            return rows.mapInArrow(run, schema)
+
+        near = each(lexicon, "y int, x string", lambda reader, t, y: [(y, x) for x in {h[0] for h in reader.hits(t)[1] if h[1]}])
+        edits = near.groupBy("x").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+        vague = {r.x for r in edits.where("n > p + 1").collect()}  # terms whose neighbours are clean words
         lexicon = replace(lexicon, fuzzy=lexicon.fuzzy - vague)
-        x = np.array([features(lexicon, r.words, [tuple(h) for h in r.hits if not (h.e and h.t in vague)]) for r in seen])
-        return Model(lexicon, tuple(fit_logistic(x, np.array([r.y for r in seen], dtype=float), l2=0.1)))
+        seen = each(lexicon, "y int, x array<double>", lambda reader, t, y: [(y, reader.features(t))]).collect()
+        return Model(lexicon, tuple(fit_logistic(np.array([r.x for r in seen]), np.array([r.y for r in seen], dtype=float), l2=0.1)))
     finally:
         rows.unpersist()
 
@@ -265,6 +268,10 @@ def score(spark: SparkSession, text: Column, model: Model) -> Column:
 
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 at the threshold or above), replacing such columns."""
+    """``docs`` with ``score`` and ``predicted`` (1 at the threshold or above), replacing such columns.
+
+    Every row is scored by its own text, repeats alike; null and empty texts score
+    as texts without a hit. Other columns stay, an empty table stays empty.
+    """
     kept = docs.drop("score", "predicted")
     return kept.withColumn("score", score(spark, F.col("text").cast("string"), model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -1,8 +1,10 @@
+import math
 import random
 
 import pytest
 
 from tamarack.llm import toxicity
+from tamarack.llm.labelled import held_out
 from tamarack.llm.toxicity import Automaton, Lexicon, Reader
 
 LEXICON = Lexicon({"moron": 3.0, "stupid": 3.0, "worthless": 4.0, "veju*": 4.0, "scum": 3.0}, frozenset({"moron", "stupid", "worthless"}))
@@ -77,8 +79,54 @@ def test_learned_model_separates(spark, corpus):
 
 def test_labels_of_one_class_or_none(spark, corpus):
     docs, labels = corpus
-    for part in (labels.where("toxic = 0"), labels.where("false")):
-        model = toxicity.learn(spark, docs, part)
+    for known, part in ((docs, labels.where("toxic = 0")), (docs, labels.where("toxic = 1")), (docs, labels.where("false")), (docs.where("false"), labels)):
+        model = toxicity.learn(spark, known, part)
         rows = toxicity.scored(spark, spark.createDataFrame([(1, "you idiot"), (2, "the an er")], "doc_id long, text string"), model).orderBy("doc_id").collect()
-        assert [r.predicted for r in rows] == [1, 0]
+        assert [r.predicted for r in rows] == [0, 0] and all(r.score < 1e-6 for r in rows)
     assert toxicity.scored(spark, docs.where("false"), model).count() == 0
+
+
+def test_score_equals_brute_force(spark, corpus):
+    """Every fuzzy term is compared with every word, and the sums are made anew."""
+    docs, labels = corpus
+    model = toxicity.learn(spark, docs, labels)
+    lexicon = model.lexicon
+    texts = ["you blarg", "said \"a moron\" once", "mron and blargs", "the an er", "", "vejuxx vejulo your", "x" * 50 + " blarg"]
+
+    def score(text):
+        words, hits = toxicity.WORD.findall(text.lower()), []
+        for m in toxicity.WORD.finditer(text.lower()):
+            w = m[0]
+            stems = [t for t in lexicon.weights if t.endswith("*") and w.startswith(t[:-1])]
+            near = min(((distance(w, t), t) for t in lexicon.fuzzy), default=(9, ""))
+            found = (w, 0) if w in lexicon.weights else (max(stems, key=len), 0) if stems else near[::-1] if near[0] <= 1 else None
+            if found:
+                hits.append((*found, *Reader._context(text.lower(), m.start(), m.end())))
+        x = toxicity.features(lexicon, len(words), hits)
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip([*x, 1.0], model.coefficients))))
+
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    got = toxicity.scored(spark, rows, model).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:  # repeated rows and ties score alike
+        assert r.score == pytest.approx(score(r.text), abs=1e-12)
+
+
+def test_lexicon_has_no_bound(spark):
+    """Thousands of terms, each in a few toxic texts of varied surroundings, are all learned."""
+    r = random.Random(2)
+    terms = ["".join(r.choice("bcdfghjklm") for _ in range(9)) for _ in range(4500)]
+    docs = [(2 * k, " ".join(x for t in terms[k % 25 :: 25] for x in (f"w{r.randrange(99)}", t))) for k in range(600)]
+    docs += [(2 * k + 1, " ".join(f"w{r.randrange(99)}" for _ in range(60))) for k in range(600)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, toxic int")
+    model = toxicity.learn(spark, spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    assert set(terms) <= set(model.lexicon.weights)
+
+
+def test_held_out_rows_of_the_given_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = labels.where("toxic is not null").where(held_out()).join(docs, "doc_id")
+    got = toxicity.scored(spark, rows.select("doc_id", "text", "toxic"), toxicity.learn(spark, docs, labels)).select("toxic", "predicted").collect()
+    hit = sum(r.toxic == r.predicted == 1 for r in got)
+    assert hit >= 0.88 * sum(r.toxic for r in got) and hit >= 0.95 * sum(r.predicted for r in got)
