@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm.workspace import Workspace
 
+#: A node with more neighbours than this, and than a ``CENTRES``-th of all edges, is a centre; there are 2 * ``CENTRES`` of them at most.
+NEIGHBOURS, CENTRES = 1000, 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, heavy: Column) -> DataFrame:
+    """``left`` joined with the one row of ``right`` for each key.
+
+    Rows of ``right`` that are ``heavy`` are broadcast, so that the many rows of
+    ``left`` with those keys stay where they are; the caller bounds their number.
+    """
+    hot = F.broadcast(right.where(heavy))
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(right.where(~heavy), key))
+
 
 def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60) -> DataFrame:
     """``node, component`` of every node of ``edges(a, b)``; a component is named by its smallest node.
@@ -14,20 +27,22 @@ def connected_components(edges: DataFrame, work: Workspace, max_rounds: int = 60
     Each round links every node's larger neighbours to its smallest one and then
     its smaller ones; the edges become stars after a number of rounds that grows
     with the logarithm of the longest path. Neighbourhoods are never gathered: a
-    round is two grouped minima and joins. Edges with a null end are left out,
-    self links and repeats do no harm.
+    round is two grouped minima and joins, and the edges of nodes with very many
+    neighbours are not shuffled by them. Edges with a null end are left out, self
+    links and repeats do no harm, no edges give no rows.
     """
     tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = work.save(tidy.distinct(), "edges")
     before = None
     for _ in range(max_rounds):
+        limit = max(NEIGHBOURS, now.count() // CENTRES)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("b > a"), least, "a", F.col("n") > limit).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = work.save(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(least, "a")
+            spread_join(large, least, "a", F.col("n") > limit)
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b")))
             .where("a <> b")

@@ -3,15 +3,19 @@
 Rows of the tables here, by step:
 
 1. one pass gives every document its set size and set hash (equal sets are one
-   node) and a fixed-size frequency table of shingle hashes;
+   node) and a frequency table of shingle hashes, of bounded size;
 2. a second pass emits each set's prefix, rarest shingles first, and one shuffle
-   by shingle brings the sets that share one together;
-3. neighbours in a shingle's size order, and its first set, are candidates if
-   length, position and the suffix filter let them reach the threshold; a pair is
-   verified once. The suffix filter bounds the sets' difference from below by the
-   classes of a hash in which the sets hold an odd number of shingles;
+   by shingle brings the sets that share one together. Shingles of very common
+   hash classes are dealt out in blocks of their sets;
+3. neighbours in a block's size order, and its first set, are candidates if
+   length and position let them reach the threshold and so do their signatures
+   (hash classes in which the sets hold an odd number of shingles). A pair is
+   verified once: the suffix filter bounds the difference of the ordered sets
+   from below by halving them, and what passes is counted;
 4. shingles whose sets are still in several components have all pairs between
-   components verified, so no component falls apart however large a group is.
+   components verified, cell by cell of two blocks, so no component falls apart
+   however large a group is. Before that, one set of each component of a blocked
+   shingle is compared with its neighbours.
 
 Links inside a component are counted by ``link_counts``: every two sets of a
 component meet once, in cells of bounded size.
@@ -20,28 +24,37 @@ component meet once, in cells of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tamarack.llm.components import connected_components
+from tamarack.llm.components import connected_components, spread_join
 from tamarack.llm.textbuf import mix, shingles
 from tamarack.llm.workspace import Workspace, small_batches
 
-#: Buckets of the frequency table: its size is fixed, so broadcasting it is bounded (2 MB).
-SKETCH_BITS = 19
-_CHUNK = 1 << 13
+#: Hash classes of the frequency table, a byte each: broadcasting it is bounded (4 MB).
+SKETCH_BITS = 22
+_CHUNK = 1 << 14
+#: Levels of a table's entry for each doubling of the count.
+LEVELS = 8
+#: A class of more occurrences than this, and than so many times the mean, is dealt out in blocks.
+HOT_SETS, HOT_SHARE = 512, 8
 #: Neighbours in a shingle's order that a set is compared with before components are known.
 NEIGHBOURS = 3
 #: Longs that hold the parities of a set's 64 * SIGNATURE hash classes.
 SIGNATURE = 16
 #: Sets and shingles of a block, two of which meet in one cell when links are counted.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
-#: Bits of the filter that spares scanning documents without candidates (1 MB).
-BLOOM_BITS = 23
+#: Bits of the filter that spares shuffling documents without candidates: 2 ** 26 at most (8 MB).
+BLOOM_BITS = 26
+#: Rows of a set, and fractions of all rows, above which its row is broadcast: these are as many at most.
+COPIES = 10_000
+#: Sets that a task remembers, lest it gives one twice.
+DONE = 200_000
 
 
 def _set_hash(u: np.ndarray) -> int:
@@ -67,27 +80,27 @@ def _measure(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("signature", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
+        counts, held, waiting = np.zeros(1 << SKETCH_BITS, dtype=np.int32), [], 0
         for batch in batches:
-            sizes, sets, marks, held = [], [], [], []
+            sizes, sets, marks = [], [], []
             for u in shingles(batch.column("text"), width):
                 sizes.append(len(u))
                 marks.append(_signature(u) if len(u) else None)
                 sets.append(_set_hash(u) if len(u) else None)
-                held.append(_bucket(u))
-                seen += len(u)
-                if sum(map(len, held[-64:])) > 1 << 18 or len(held) > 2000:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held = []
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                held.append(_bucket(u).astype(np.int32))
+                waiting += len(u)
+                if waiting > 1 << 21 or len(held) > 20_000:
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.int32)
+                    held, waiting = [], 0
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema
             )
-        if seen:
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.int32)
+        if counts.any():
             parts = [(k, counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(len(counts) // _CHUNK)]
-            parts = [(k, c.astype(np.int64).tobytes()) for k, c in parts if c.any()]
+            parts = [(k, c.tobytes()) for k, c in parts if c.any()]
             m = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())],
@@ -97,44 +110,69 @@ def _measure(width: int):
     return run
 
 
-def _frequencies(parts: DataFrame) -> np.ndarray:
-    """The frequency table summed over tasks; 2 ** SKETCH_BITS numbers reach the driver."""
+@dataclass(frozen=True)
+class Rarity:
+    """How common each hash class of shingles is, in levels, and above which level one is dealt out in blocks."""
+
+    levels: np.ndarray
+    limit: float
+
+    def order(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the shingles, rarest class first, and the blocks of each of them in that order."""
+        level = self.levels[_bucket(u)]
+        at = np.lexsort((u, level))
+        return at, np.maximum(1, np.ceil(2.0 ** (level[at] / LEVELS) / self.limit)).astype(np.int64)
+
+
+def _frequencies(parts: DataFrame) -> Rarity:
+    """The table summed over tasks: what a scan task reads first, then by chunk. 2 ** SKETCH_BITS bytes reach the driver."""
 
-    def add(key, table):
-        total = np.zeros(_CHUNK, dtype=np.int64)
-        for c in table.column("counts"):
-            total += np.frombuffer(c.as_buffer(), dtype=np.int64)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+                    total[k] = total.get(k, 0) + np.frombuffer(c.as_buffer(), dtype=np.int64 if last else np.int32).astype(np.int64)
+            found = [np.minimum(255, np.round(LEVELS * np.log2(1.0 + c))).astype(np.uint8) if last else c for c in total.values()]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in found], pa.binary()), "n": pa.array([int(c.sum()) for c in total.values()], pa.int64())})
+
+        return run
 
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for row in parts.where("chunk is not null").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():
-        out[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.counts, dtype=np.int64)
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    levels, n = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), 0
+    some = parts.where("chunk is not null").select("chunk", "counts").mapInArrow(add(False), "chunk int, counts binary, n long")
+    for row in some.repartition(F.col("chunk")).mapInArrow(add(True), "chunk int, counts binary, n long").collect():
+        levels[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.counts, dtype=np.uint8)
+        n += row.n
+    return Rarity(levels, max(HOT_SETS, HOT_SHARE * n / len(levels)))
 
 
-def _prefixes(width: int, percent: int, table):
-    schema = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+def _prefixes(width: int, percent: int, rarity: Broadcast):
+    schema = pa.schema([("token", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, done = table.value, set()
+        order, done = rarity.value.order, set()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            tokens, sets, sizes, places, held = [], [], [], [], 0
+            rows, held = [], 0
             for u in shingles(batch.column("text"), width):
                 n = len(u)
                 if n == 0 or (s := _set_hash(u)) in done:
                     continue
+                if len(done) >= DONE:
+                    done.clear()
                 done.add(s)
                 p = n - -(-percent * n // 100) + 1
-                tokens.append(u[np.lexsort((u, counts[_bucket(u)]))[:p]])
-                sets.append(np.full(p, s, dtype=np.int64))
-                sizes.append(np.full(p, n, dtype=np.int32))
-                places.append(np.arange(p, dtype=np.int32))
+                at, blocks = order(u)
+                rows.append((u[at[:p]].view(np.int64), np.full(p, s), np.full(p, n), np.arange(p), (s & 0xFFFFFFFF) % blocks[:p], blocks[:p]))
                 held += p
                 if held > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sets, sizes, places))], schema=schema)
-                    tokens, sets, sizes, places, held = [], [], [], [], 0
+                    yield out()
+                    rows, held = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (sets, sizes, places))], schema=schema)
+                yield out()
 
     return run
 
@@ -148,8 +186,8 @@ def _passes(percent: int) -> str:
     return f"least(n, m) * 100 >= {percent} * greatest(n, m) and 1 + least(n - pos - 1, m - qos - 1) >= {_need(percent)}"
 
 
-def _suffix(percent: int, x: str = "x", y: str = "y") -> str:
-    """Suffix filter of sizes n, m and signatures x, y."""
+def _signatures(percent: int, x: str = "x", y: str = "y") -> str:
+    """Whether sets of sizes n, m and signatures x, y can reach the threshold."""
     return f"n + m - 2 * {_need(percent)} >= {_differ(x, y)}"
 
 
@@ -158,12 +196,16 @@ def _arrays(width: int, bits):
     schema = pa.schema([("set_id", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, done = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8)), set()
+        words, done = np.frombuffer(bits.value, dtype=np.uint32), set()
+        power = len(words).bit_length() + 4
+        has = lambda k: words[k >> 5] >> np.uint32(k & 31) & np.uint32(1)
         for batch in batches:
             keys, blobs, held = [], [], 0
             for u in shingles(batch.column("text"), width):
-                if len(u) == 0 or (s := _set_hash(u)) in done or not all(bloom[k] for k in _bloom_places(s)):
+                if len(u) == 0 or (s := _set_hash(u)) in done or not all(has(k) for k in _bloom_places(s, power)):
                     continue
+                if len(done) >= DONE:
+                    done.clear()
                 done.add(s)
                 keys.append(s)
                 blobs.append(u.tobytes())
@@ -177,24 +219,44 @@ def _arrays(width: int, bits):
     return run
 
 
-def _bloom_places(s: int) -> tuple[int, int]:
+def _bloom_places(s: int, power: int) -> tuple[int, int]:
     x = s & 0xFFFFFFFFFFFFFFFF
-    return x >> (64 - BLOOM_BITS), x & ((1 << BLOOM_BITS) - 1)
+    return x >> (64 - power), x & ((1 << power) - 1)
 
 
 def _bloom(ids: DataFrame) -> bytes:
-    """A Bloom filter of fixed size over ``set_id``; the bits are joined by Spark, word by word."""
-    low = (1 << BLOOM_BITS) - 1
-    places = ids.select(F.explode(F.array(F.shiftrightunsigned("set_id", 64 - BLOOM_BITS), F.col("set_id").bitwiseAND(low))).alias("k"))
-    words = places.selectExpr("shiftright(k, 5) AS w", "shiftleft(1L, cast(k & 31 AS int)) AS v").groupBy("w").agg(F.bit_or("v").alias("v"))
-    out = np.zeros(1 << (BLOOM_BITS - 5), dtype=np.uint32)
-    for row in words.collect():  # at most 2 ** 18 rows
-        out[row.w] = row.v
-    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little")).tobytes()
+    """A Bloom filter over ``set_id``, of a size that follows their number up to a bound; the bits are joined by Spark, word by word."""
+    power = min(BLOOM_BITS, max(16, ids.count().bit_length() + 3))
+    low = (1 << power) - 1
+    places = ids.select(F.explode(F.array(F.shiftrightunsigned("set_id", 64 - power), F.col("set_id").bitwiseAND(low))).alias("k"))
+    words = places.selectExpr("cast(shiftright(k, 5) AS int) AS w", "shiftleft(1L, cast(k & 31 AS int)) AS v").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(1 << (power - 5), dtype=np.uint32)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()  # at most 2 ** (BLOOM_BITS - 5) rows
+    return out.tobytes()
+
+
+def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
+    """At least how many elements are in one of two ordered sets only; no further than it takes to exceed ``most``.
+
+    The middle of one splits both; what is left and right of it differs by the
+    halves' sizes at least, and more if the halves themselves are split.
+    """
+    low = abs(len(x) - len(y))
+    if low > most or depth == 0 or not len(x) or not len(y):
+        return low
+    mid = len(y) // 2
+    at = int(np.searchsorted(x, y[mid]))
+    hit = at < len(x) and x[at] == y[mid]
+    left, right = (x[:at], y[:mid]), (x[at + hit :], y[mid + 1 :])
+    rest = abs(len(right[0]) - len(right[1])) + (not hit)
+    first = suffix_bound(*left, most - rest, depth - 1)
+    if first + rest > most:
+        return first + rest
+    return first + (not hit) + suffix_bound(*right, most - first - (not hit), depth - 1)
 
 
 def _verify(percent: int):
-    """Keeps the pairs whose sets reach the threshold."""
+    """Keeps the pairs whose sets reach the threshold; those that the suffix filter drops are not counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,6 +264,10 @@ def _verify(percent: int):
             for x, y in zip(batch.column("x"), batch.column("y")):
                 a, b = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
                 need = -(-percent * (len(a) + len(b)) // (100 + percent))
+                most = len(a) + len(b) - 2 * need
+                if suffix_bound(a, b, most) > most:
+                    keep.append(False)
+                    continue
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 keep.append(int((b[at] == a).sum()) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -278,7 +344,7 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     """
     work = Workspace(spark, "ngram-join")
     rows, named = _named(spark, _texts(docs), width, percent, work)
-    return rows.join(named.drop("copies", "n"), "set_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _with_sets(rows, named.select("set_id", "component_id", "copies")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def link_counts(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -300,7 +366,8 @@ def link_counts(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     spread = arrays.join(members, "set_id").select("component_id", "set_id", "copies", "block", "shingles", cells.alias("cell")).select("component_id", "cell.lo", "cell.hi", "set_id", "copies", "block", "shingles")
     met = spread.repartition(F.col("component_id"), F.col("lo"), F.col("hi")).sortWithinPartitions("component_id", "lo", "hi")
     links = met.mapInArrow(_count(percent), "set_id long, links long").groupBy("set_id").agg(F.sum("links").alias("links"))
-    found = rows.join(named.select("set_id", "component_id", "copies"), "set_id", "left").join(work.save(links, "counts"), "set_id", "left")
+    counted = named.select("set_id", "component_id", "copies").join(work.save(links, "counts"), "set_id", "left")
+    found = _with_sets(rows, counted)
     n_links = F.col("copies") - F.col("doc_id").isNotNull().cast("long") + F.coalesce("links", F.lit(0))
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))
 
@@ -309,6 +376,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their sets. Sets of very many copies are broadcast, rows without one (null) are not shuffled."""
+    limit = max(COPIES, rows.count() // COPIES)
+    none = rows.where("set_id is null").select("*", *(F.lit(None).cast(t).alias(c) for c, t in sets.dtypes if c != "set_id"))
+    return spread_join(rows.where("set_id is not null"), sets, "set_id", F.col("copies") > limit).unionByName(none)
+
+
 def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, set_id`` of every row, and ``set_id, component_id, copies, n`` of every set; copies are its rows with an id."""
     small_batches(spark)
@@ -317,27 +391,28 @@ def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work
     sets = measured.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.count("doc_id").alias("copies"), F.max("n").alias("n"))
     sets = work.save(sets, "sets")
     sign = sets.select("set_id", "signature")
-    table = spark.sparkContext.broadcast(_frequencies(measured))
+    rarity = spark.sparkContext.broadcast(_frequencies(measured))
 
-    by_token = Window.partitionBy("token")
-    order = by_token.orderBy("n", "set_id")
+    by_block = Window.partitionBy("token", "block")
     shared = (
         texts.select("text")
-        .mapInArrow(_prefixes(width, percent, table), "token long, set_id long, n int, pos int")
-        .repartition(F.col("token"))
-        .dropDuplicates(["token", "set_id"])
-        .withColumn("size", F.count("*").over(by_token))
-        .where("size > 1")
+        .mapInArrow(_prefixes(width, percent, rarity), "token long, set_id long, n int, pos int, block int, blocks int")
+        .repartition(F.col("token"), F.col("block"))
+        .dropDuplicates(["token", "block", "set_id"])
+        .withColumn("size", F.count("*").over(by_block))
+        .where("size > 1 or blocks > 1")
     )
     shared = work.save(shared, "shared")
 
-    me = F.struct("set_id", "n", "pos")
-    near = shared.select("token", "set_id", "n", "pos", *(F.lag(me, k).over(order).alias(f"p{k}") for k in range(1, NEIGHBOURS + 1)), F.first(me).over(order).alias("p0"))
-    near = near.select("set_id", "n", "pos", F.explode(F.array(*(f"p{k}" for k in range(NEIGHBOURS + 1)))).alias("p")).where("p is not null and p.set_id <> set_id")
-    near = near.select(F.col("set_id").alias("s"), F.col("p.set_id").alias("t"), "n", "pos", F.col("p.n").alias("m"), F.col("p.pos").alias("qos"))
-    near = near.where(_passes(percent)).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()
-    near = near.join(sign.toDF("a", "x"), "a").join(sign.toDF("b", "y"), "b").where(_suffix(percent))
-    pairs = work.save(near.select("a", "b"), "pairs")
+    def neighbours(rows: DataFrame, *key: str) -> DataFrame:
+        """Pairs ``a, b`` of sets that stand near each other in the order of sizes, or first, and pass the filters."""
+        me, window = F.struct("set_id", "n", "pos"), Window.partitionBy(*key).orderBy("n", "set_id")
+        near = rows.select(*key, "set_id", "n", "pos", *(F.lag(me, k).over(window).alias(f"p{k}") for k in range(1, NEIGHBOURS + 1)), F.first(me).over(window).alias("p0"))
+        near = near.select("set_id", "n", "pos", F.explode(F.array(*(f"p{k}" for k in range(NEIGHBOURS + 1)))).alias("p")).where("p is not null and p.set_id <> set_id")
+        near = near.select(F.col("set_id").alias("s"), F.col("p.set_id").alias("t"), "n", "pos", F.col("p.n").alias("m"), F.col("p.pos").alias("qos"))
+        near = near.where(_passes(percent)).select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()
+        near = near.join(sign.toDF("a", "x"), "a").join(sign.toDF("b", "y"), "b").where(_signatures(percent))
+        return near.select("a", "b")
 
     def verified(candidates: DataFrame) -> DataFrame:
         ids = candidates.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -347,28 +422,41 @@ def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work
         both = candidates.join(arrays.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(arrays.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
         return work.save(both.mapInArrow(_verify(percent), "b long, a long").select("a", "b"), "links")
 
-    links = verified(pairs)
-    if not shared.where(f"size > {NEIGHBOURS + 1}").isEmpty():
+    def placed(rows: DataFrame) -> DataFrame:
         parts = connected_components(links, work)
-        large = (
-            shared.where(f"size > {NEIGHBOURS + 1}")
-            .join(parts.withColumnRenamed("node", "set_id"), "set_id", "left")
-            .withColumn("component", F.coalesce("component", "set_id"))
-        )
+        return rows.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+
+    pairs = work.save(neighbours(shared, "token", "block"), "pairs")
+    links = verified(pairs)
+    if not shared.where("blocks > 1").isEmpty():
+        one = placed(shared.where("blocks > 1")).groupBy("token", "component").agg(F.min(F.struct("n", "set_id", "pos")).alias("r")).select("token", "r.*")
+        one = work.save(one, "one")
+        several = one.groupBy("token").agg(F.count("*").alias("k")).where(f"k > 1 and k <= {HOT_SETS}").select("token")
+        across = work.save(neighbours(one.join(several, "token", "left_semi"), "token").join(pairs, ["a", "b"], "left_anti"), "across")
+        if not across.isEmpty():
+            pairs, links = pairs.unionByName(across), links.unionByName(verified(across))
+    if not shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1").isEmpty():
+        large = placed(shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1"))
         mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        large = work.save(large.join(mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id"), "mixed")
-        other = large.select("token", F.col("set_id").alias("t"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("c"), F.col("x").alias("y"))
-        rest = large.join(other, "token").where("component < c").where(_passes(percent)).where(_suffix(percent))
+        large = large.join(mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id")
+        cells = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) AS lo, greatest(k, block) AS hi))"))
+        large = work.save(large, "mixed").withColumn("cell", cells).select("token", "cell.*", "block", "set_id", "n", "pos", "component", "x")
+        other = large.select("token", "lo", "hi", F.col("block").alias("other"), F.col("set_id").alias("t"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("c"), F.col("x").alias("y"))
+        rest = large.join(other, ["token", "lo", "hi"]).where("component < c and block + other = lo + hi").where(_passes(percent)).where(_signatures(percent))
         rest = rest.select(F.least("set_id", "t").alias("a"), F.greatest("set_id", "t").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         rest = work.save(rest, "rest")
         if not rest.isEmpty():
-            links = reduce(DataFrame.unionByName, [links, verified(rest)])
+            links = links.unionByName(verified(rest))
 
     name = sets.where("rep is not null")
     edges = links.join(name.select(F.col("set_id").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("set_id").alias("b"), F.col("rep").alias("rb")), "b")
+    edges = edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     # a doc_id that repeats with other texts ties those texts' sets together
-    ties = rows.where("n > 0").join(sets.select("set_id", "rep"), "set_id").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1"))
-    repeated = ties.where("r0 < r1").select(F.col("r0").alias("a"), F.col("r1").alias("b"))
-    whole = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).unionByName(repeated), work)
+    again = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").select("doc_id")
+    again = work.save(again, "again")
+    if not again.isEmpty():
+        ties = rows.where("n > 0").join(again, "doc_id").select("doc_id", "set_id").distinct().join(name.select("set_id", "rep"), "set_id")
+        edges = edges.unionByName(ties.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    whole = connected_components(edges, work)
     named = sets.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"), "copies", "n")
     return rows, named

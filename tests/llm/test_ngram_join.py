@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tamarack.llm import ngram_join
@@ -56,6 +57,40 @@ def test_a_large_group_of_near_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_blocks_of_a_common_shingle(spark, monkeypatch):
+    """Near copies and other texts under one passage, dealt out in blocks of a few sets."""
+    monkeypatch.setattr(ngram_join, "HOT_SETS", 6)
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 0)
+    r = random.Random(7)
+    base, passage = [f"v{k}" for k in range(60)], [f"p{k}" for k in range(9)]
+    rows = []
+    for k in range(90):
+        t = list(base) if k % 3 else [f"y{r.randrange(40)}" for _ in range(7)]
+        for _ in range(3):
+            t[r.randrange(len(t))] = f"x{r.randrange(1000)}"
+        rows.append((k, " ".join(passage + t)))
+    rows += [(100 + k, rows[1][1]) for k in range(20)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_filters_never_drop_a_linked_pair():
+    r = np.random.default_rng(5)
+    dropped = 0
+    for _ in range(4000):
+        x = np.unique(r.integers(0, 400, r.integers(1, 120)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.choice([0.5, 0.8, 0.95])], r.integers(0, 1 << 60, r.integers(0, 30)).astype(np.uint64)]))
+        differ, need = len(np.setxor1d(x, y)), -(-75 * (len(x) + len(y)) // 175)
+        most = len(x) + len(y) - 2 * need
+        for depth in range(5):
+            assert ngram_join.suffix_bound(x, y, 1 << 30, depth) <= differ
+            if ngram_join.suffix_bound(x, y, most, depth) > most:
+                assert differ > most
+                dropped += depth == 3
+        a, b = ngram_join._signature(x), ngram_join._signature(y)
+        assert np.unpackbits((a ^ b).view(np.uint8)).sum() <= differ
+    assert dropped > 500
+
+
 def test_threshold_is_inclusive(spark):
     a = " ".join(f"a{k}" for k in range(11))  # 7 shingles
     rows = [(1, a), (2, a + " b c"), (3, a + " b c d")]  # 7 of 9, 7 of 10
@@ -68,6 +103,9 @@ def test_repeated_rows_ids_and_empty_tables(spark):
     t = " ".join(f"t{k}" for k in range(20))
     rows = [(1, t), (2, "p q r s t u v"), (2, t + " z")]  # id 2 has two texts, one near 1
     assert {c for _, _, c in run(spark, rows)} == {1}
+    u = "l m n o p q r s"
+    rows = [(9, u), (1, "a b c d e f"), (9, "a b c d e f"), (3, "g h i j k l"), (9, "g h i j k l")]  # id 9 ties three texts
+    assert {c for _, _, c in run(spark, rows)} == {1}
     assert run(spark, []) == []
     got = ngram_join.link(spark, spark.createDataFrame([(None, t), (5, t), (None, "x")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id) == [(5, 16, 5)]
