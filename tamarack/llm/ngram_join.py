@@ -7,15 +7,14 @@ Rows of the tables here, by step:
 2. a second pass emits each set's prefix, rarest shingles first, and one shuffle
    by shingle brings the sets that share one together. Shingles of very common
    hash classes are dealt out in blocks of their sets;
-3. neighbours in a block's size order, and its first set, are candidates if
-   length and position let them reach the threshold and so do their signatures
-   (hash classes in which the sets hold an odd number of shingles). A pair is
+3. neighbours in a block's size order, and its first set, are candidates, and so
+   are the first sets of a shingle's blocks, if length and position let them reach
+   the threshold and so do their signatures (hash classes in which the sets hold an odd number of shingles). A pair is
    verified once: the suffix filter bounds the difference of the ordered sets
    from below by halving them, and what passes is counted;
 4. shingles whose sets are still in several components have all pairs between
    components verified, cell by cell of two blocks, so no component falls apart
-   however large a group is. Before that, one set of each component of a blocked
-   shingle is compared with its neighbours.
+   however large a group is.
 
 Links inside a component are counted by ``link_counts``: every two sets of a
 component meet once, in cells of bounded size.
@@ -75,9 +74,20 @@ def _bucket(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+#: A part of the frequency table: a chunk's classes that occur, and how often.
+_PARTS = [pa.field("chunk", pa.int32()), pa.field("at", pa.binary()), pa.field("counts", pa.binary())]
+_PARTS_DDL = "chunk int, at binary, counts binary"
+
+
+def _sparse(chunks: Iterator[tuple[int, np.ndarray]], kind: str) -> Iterator[list[pa.Array]]:
+    rows = [(k, at.astype("<u2").tobytes(), c[at].astype(kind).tobytes()) for k, c in chunks if len(at := np.flatnonzero(c))]
+    if rows:
+        yield [pa.array(x, f.type) for x, f in zip(zip(*rows), _PARTS)]
+
+
 def _measure(width: int):
     """(doc_id, n, set_id, signature) of every document, and at the task's end its part of the frequency table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("signature", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_id", pa.int64()), ("signature", pa.list_(pa.int64())), *_PARTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, waiting = np.zeros(1 << SKETCH_BITS, dtype=np.int32), [], 0
@@ -94,18 +104,13 @@ def _measure(width: int):
                     held, waiting = [], 0
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema
+                [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sets, pa.int64()), pa.array(marks, pa.list_(pa.int64())), *(pa.nulls(m, f.type) for f in _PARTS)], schema=schema
             )
         if held:
             counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.int32)
-        if counts.any():
-            parts = [(k, counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(len(counts) // _CHUNK)]
-            parts = [(k, c.tobytes()) for k, c in parts if c.any()]
-            m = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array([k for k, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())],
-                schema=schema,
-            )
+        for part in _sparse(((k, counts[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(len(counts) // _CHUNK)), "<i4"):
+            m = len(part[0])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, f.type) for f in [*schema][:4]), *part], schema=schema)
 
     return run
 
@@ -125,23 +130,31 @@ class Rarity:
 
 
 def _frequencies(parts: DataFrame) -> Rarity:
-    """The table summed over tasks: what a scan task reads first, then by chunk. 2 ** SKETCH_BITS bytes reach the driver."""
+    """The table summed over tasks: what a scan task reads first, then by chunk. 2 ** SKETCH_BITS entries reach the driver."""
 
-    def add(last: bool):
+    def add(before: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for batch in batches:
-                for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                    total[k] = total.get(k, 0) + np.frombuffer(c.as_buffer(), dtype=np.int64 if last else np.int32).astype(np.int64)
-            found = [np.minimum(255, np.round(LEVELS * np.log2(1.0 + c))).astype(np.uint8) if last else c for c in total.values()]
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "counts": pa.array([x.tobytes() for x in found], pa.binary()), "n": pa.array([int(c.sum()) for c in total.values()], pa.int64())})
+                for k, at, c in zip(batch.column("chunk").to_pylist(), batch.column("at"), batch.column("counts")):
+                    if k not in total:
+                        total[k] = np.zeros(_CHUNK, dtype=np.int64)
+                    total[k][np.frombuffer(at.as_buffer(), dtype="<u2")] += np.frombuffer(c.as_buffer(), dtype=before)
+            for part in _sparse(iter(total.items()), "<i8"):
+                yield pa.RecordBatch.from_arrays(part, schema=pa.schema(_PARTS))
 
         return run
 
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in add("<i8")(batches):
+            counts = [np.frombuffer(c.as_buffer(), dtype="<i8") for c in batch.column("counts")]
+            levels = [np.minimum(255, np.round(LEVELS * np.log2(1.0 + c))).astype(np.uint8).tobytes() for c in counts]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), pa.array(levels, pa.binary()), pa.array([int(c.sum()) for c in counts])], schema=pa.schema([*_PARTS, ("n", pa.int64())]))
+
     levels, n = np.zeros(1 << SKETCH_BITS, dtype=np.uint8), 0
-    some = parts.where("chunk is not null").select("chunk", "counts").mapInArrow(add(False), "chunk int, counts binary, n long")
-    for row in some.repartition(F.col("chunk")).mapInArrow(add(True), "chunk int, counts binary, n long").collect():
-        levels[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(row.counts, dtype=np.uint8)
+    some = parts.where("chunk is not null").select("chunk", "at", "counts").mapInArrow(add("<i4"), _PARTS_DDL)
+    for row in some.repartition(F.col("chunk")).mapInArrow(level, f"{_PARTS_DDL}, n long").collect():
+        levels[row.chunk * _CHUNK + np.frombuffer(row["at"], dtype="<u2").astype(np.int64)] = np.frombuffer(row["counts"], dtype=np.uint8)
         n += row.n
     return Rarity(levels, max(HOT_SETS, HOT_SHARE * n / len(levels)))
 
@@ -386,7 +399,7 @@ def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
 def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
     """``doc_id, n, set_id`` of every row, and ``set_id, component_id, copies, n`` of every set; copies are its rows with an id."""
     small_batches(spark)
-    measured = work.save(texts.mapInArrow(_measure(width), "doc_id long, n int, set_id long, signature array<long>, chunk int, counts binary"), "measured")
+    measured = work.save(texts.mapInArrow(_measure(width), f"doc_id long, n int, set_id long, signature array<long>, {_PARTS_DDL}"), "measured")
     rows = measured.where("chunk is null").select("doc_id", "n", "set_id")
     sets = measured.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"), F.count("doc_id").alias("copies"), F.max("n").alias("n"))
     sets = work.save(sets, "sets")
@@ -401,6 +414,7 @@ def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work
         .dropDuplicates(["token", "block", "set_id"])
         .withColumn("size", F.count("*").over(by_block))
         .where("size > 1 or blocks > 1")
+        .withColumn("place", F.row_number().over(by_block.orderBy("n", "set_id")))
     )
     shared = work.save(shared, "shared")
 
@@ -422,21 +436,13 @@ def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work
         both = candidates.join(arrays.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(arrays.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
         return work.save(both.mapInArrow(_verify(percent), "b long, a long").select("a", "b"), "links")
 
-    def placed(rows: DataFrame) -> DataFrame:
-        parts = connected_components(links, work)
-        return rows.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-
-    pairs = work.save(neighbours(shared, "token", "block"), "pairs")
+    # the first sets of a shingle's blocks are neighbours too, which ties the blocks of a group of near copies
+    firsts = neighbours(shared.where(f"blocks > 1 and place <= {NEIGHBOURS}"), "token")
+    pairs = work.save(neighbours(shared, "token", "block").unionByName(firsts).distinct(), "pairs")
     links = verified(pairs)
-    if not shared.where("blocks > 1").isEmpty():
-        one = placed(shared.where("blocks > 1")).groupBy("token", "component").agg(F.min(F.struct("n", "set_id", "pos")).alias("r")).select("token", "r.*")
-        one = work.save(one, "one")
-        several = one.groupBy("token").agg(F.count("*").alias("k")).where(f"k > 1 and k <= {HOT_SETS}").select("token")
-        across = work.save(neighbours(one.join(several, "token", "left_semi"), "token").join(pairs, ["a", "b"], "left_anti"), "across")
-        if not across.isEmpty():
-            pairs, links = pairs.unionByName(across), links.unionByName(verified(across))
     if not shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1").isEmpty():
-        large = placed(shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1"))
+        parts = connected_components(links, work).withColumnRenamed("node", "set_id")
+        large = shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         large = large.join(mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id")
         cells = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) AS lo, greatest(k, block) AS hi))"))
