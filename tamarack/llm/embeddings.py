@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm.components import connected_components
+from tamarack.llm.components import connected_components, spread_join
 from tamarack.llm.workspace import Workspace
 
-#: Vectors of a tile at most, rows compared with a tile at once, and components per part.
-TILE, ROWS, PARTS = 8192, 512, 4
+#: Bytes of a tile at most and vectors of one at least, rows compared with as many columns at once, and components per part.
+TILE_BYTES, TILE, ROWS, COLUMNS, PARTS = 8 << 20, 1024, 512, 8192, 4
+#: Copies of a vector, and fractions of all rows, above which its row is broadcast: these are as many at most.
+COPIES = 10_000
 #: A cosine this near the threshold is computed again from the vectors as given.
 NEAR = 1e-9
 
@@ -48,12 +50,15 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
                 total += x.T @ x
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(dim), pa.int32()), "row": pa.array([r.tobytes() for r in total], pa.binary())})
 
-    def add(key, table):
-        row = np.sum([np.frombuffer(r.as_buffer()) for r in table.column("row")], axis=0)
-        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([row.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column("i").to_pylist(), batch.column("row")):
+                total[i] = total.get(i, 0.0) + np.frombuffer(row.as_buffer())
+        yield pa.RecordBatch.from_pydict({"i": pa.array(list(total), pa.int32()), "row": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
     out = np.zeros((dim, dim))
-    for r in vectors.select("v").mapInArrow(run, "i int, row binary").groupBy("i").applyInArrow(add, "i int, row binary").collect():
+    for r in vectors.select("v").mapInArrow(run, "i int, row binary").repartition(F.col("i")).mapInArrow(add, "i int, row binary").collect():
         out[r.i] = np.frombuffer(r.row)
     return np.ascontiguousarray(np.linalg.eigh((out + out.T) / 2)[1][:, ::-1])
 
@@ -81,25 +86,28 @@ def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, sa
     rest = lambda p, c: np.sqrt(np.maximum(0.0, (p[:, c:] ** 2).sum(axis=1)))
     ends = [(rest(px, c), rest(py, c)) for c in cuts]
     least = threshold - NEAR
-    for at in range(0, len(px), ROWS):
-        block = slice(at, at + ROWS)
-        done = px[block, : cuts[0]] @ py[:, : cuts[0]].T
-        alive = done + ends[0][0][block, None] * ends[0][1][None, :] >= least
+    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    for at, to in ((at, to) for at in range(0, len(px), ROWS) for to in range(0, len(py), COLUMNS)):
+        block, other = slice(at, at + ROWS), slice(to, to + COLUMNS)
+        if same and to + COLUMNS <= at or px[block, 0].min() > py[other, 0].max() + reach or py[other, 0].min() > px[block, 0].max() + reach:
+            continue
+        done = px[block, : cuts[0]] @ py[other, : cuts[0]].T
+        alive = done + ends[0][0][block, None] * ends[0][1][None, other] >= least
         if same:
-            alive &= np.arange(at, at + len(done))[:, None] < np.arange(len(py))[None, :]
+            alive &= np.arange(at, at + done.shape[0])[:, None] < np.arange(to, to + done.shape[1])[None, :]
         i, j = np.nonzero(alive)
         if len(i) > 0.05 * alive.size:  # many survive: the block's whole products cost less
-            i, j = np.nonzero(alive & (px[block] @ py.T >= least))
-            total = None
+            i, j = np.nonzero(alive & (px[block] @ py[other].T >= least))
+            i, j = at + i, to + j
         else:
             total = done[i, j]
-            i, c0 = i.astype(np.int64), cuts[0]
+            i, j, c0 = at + i, to + j, cuts[0]
             for c, (ex, ey) in zip(cuts[1:], ends[1:]):
-                total = total + np.einsum("kd,kd->k", px[at + i, c0:c], py[j, c0:c])
-                keep = total + ex[at + i] * ey[j] >= least
+                total = total + np.einsum("kd,kd->k", px[i, c0:c], py[j, c0:c])
+                keep = total + ex[i] * ey[j] >= least
                 i, j, total, c0 = i[keep], j[keep], total[keep], c
         for k in range(0, len(i), 1 << 16):
-            ik, jk = at + i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            ik, jk = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
             cos = np.einsum("kd,kd->k", ux[ik], uy[jk])
             near = np.flatnonzero(np.abs(cos - threshold) < NEAR)
             for q in near:
@@ -140,8 +148,12 @@ def _meet(axes, dim: int, kind: str, threshold: float):
     return run
 
 
-def _tiles(spark: SparkSession, vectors: DataFrame, dim: int, axes: np.ndarray, kind: str, tile: int, work: Workspace) -> DataFrame:
-    """``tile, lo, hi, ids, times, v``: vectors packed in order of their first component."""
+def _tiles(spark: SparkSession, vectors: DataFrame, dim: int, axes: np.ndarray, kind: str, tile: int | None, work: Workspace) -> DataFrame:
+    """``tile, lo, hi, ids, times, v``: vectors packed in order of their first component.
+
+    Every meeting pair of tiles is shuffled, so tiles are as large as ``TILE_BYTES``
+    allows, but small enough for a few pairs a core.
+    """
     lead = spark.sparkContext.broadcast(np.ascontiguousarray(axes[:, 0]))
 
     @F.arrow_udf("double")
@@ -177,12 +189,15 @@ def _tiles(spark: SparkSession, vectors: DataFrame, dim: int, axes: np.ndarray,
             yield out(pa.Table.from_batches(held))
 
     count = vectors.count()
+    if tile is None:
+        fit, cores = TILE_BYTES // (dim * np.dtype(kind).itemsize), spark.sparkContext.defaultParallelism
+        tile = max(1, min(fit, max(TILE, -(-count // math.isqrt(8 * cores)))))
     parts = max(1, -(-count // tile))
     ordered = vectors.withColumn("p", first("v")).repartitionByRange(parts, "p", "rep").sortWithinPartitions("p", "rep").withColumn("part", F.spark_partition_id())
     return work.save(ordered.mapInArrow(pack, "tile long, lo double, hi double, ids array<long>, times array<long>, v binary"), "tiles")
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, tile: int = TILE) -> DataFrame:
+def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9, tile: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, ...)``.
 
     Rows link when their cosine in double precision is ``threshold`` or more;
@@ -220,7 +235,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     parts = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), work)
     of = distinct.groupBy("rep").agg(F.sum("n").alias("n")).join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
     of = of.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    of = distinct.select("v", "rep").join(of, "rep").select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.where("ok").join(of, "v").select("vec_id", "n_links", F.col("component").alias("component_id"))
+    of = distinct.select("v", "rep", F.col("n").alias("copies")).join(of, "rep").select("v", "copies", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    limit = max(COPIES, rows.count() // COPIES)
+    of = work.save(of.withColumn("heavy", F.col("copies") > limit), "of")
+    out = spread_join(rows.where("ok"), of, "v", F.col("heavy")).select("vec_id", "n_links", F.col("component").alias("component_id"))
     rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -357,7 +357,7 @@ def link(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75
     """
     work = Workspace(spark, "ngram-join")
     rows, named = _named(spark, _texts(docs), width, percent, work)
-    return _with_sets(rows, named.select("set_id", "component_id", "copies")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _with_sets(rows, work.save(named.select("set_id", "component_id", "copies"), "named")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def link_counts(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -379,7 +379,7 @@ def link_counts(spark: SparkSession, docs: DataFrame, width: int = 5, percent: i
     spread = arrays.join(members, "set_id").select("component_id", "set_id", "copies", "block", "shingles", cells.alias("cell")).select("component_id", "cell.lo", "cell.hi", "set_id", "copies", "block", "shingles")
     met = spread.repartition(F.col("component_id"), F.col("lo"), F.col("hi")).sortWithinPartitions("component_id", "lo", "hi")
     links = met.mapInArrow(_count(percent), "set_id long, links long").groupBy("set_id").agg(F.sum("links").alias("links"))
-    counted = named.select("set_id", "component_id", "copies").join(work.save(links, "counts"), "set_id", "left")
+    counted = work.save(named.select("set_id", "component_id", "copies").join(work.save(links, "counts"), "set_id", "left"), "counted")
     found = _with_sets(rows, counted)
     n_links = F.col("copies") - F.col("doc_id").isNotNull().cast("long") + F.coalesce("links", F.lit(0))
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(n_links, F.lit(0)).cast("long").alias("n_links"))

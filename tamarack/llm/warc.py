@@ -1,6 +1,7 @@
 """WARC archives: segmented records written and put together again.
 
-Files are gzip-compressed WARC 1.1. A record whose block is longer than a
+Files are WARC 1.1, written in gzip (a member per file) and read with or without
+it, also those of other writers. A record whose block is longer than a
 segment is continued in ``continuation`` records, which may stand in any file;
 the reader groups them by the origin's record id, orders them by segment
 number, checks the total length, and decodes the chunked transfer framing.
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,12 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm.components import spread_join
+from tamarack.llm.workspace import Workspace
+
 CRLF = b"\r\n"
 SEGMENT_BYTES, CHUNK_BYTES = 32_768, 8_192
 #: Records of a file at most: with ``SEGMENT_BYTES`` this bounds a file, which one task reads whole.
 RECORDS_PER_FILE = 1_000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Pages of a payload, and fractions of all pages, above which its row is broadcast: these are as many at most.
+COPIES = 10_000
 #: Bytes of payloads in one Arrow batch.
 BATCH_BYTES = 4 << 20
 
@@ -59,14 +66,21 @@ def _record(kind: str, name: str, block: bytes, **fields) -> bytes:
     return "\r\n".join(lines).encode() + CRLF + CRLF + block
 
 
-def records(page_id: int | None, copy: int, url: str | None, payload: bytes, refers_to: int | None, segment: int) -> Iterator[bytes]:
-    """The page's records, without the blank lines that end them. A line break in a URL is escaped."""
-    name = f"urn:page:{'' if page_id is None else page_id}#{copy:x}"
+def _name(page_id: int | None, copy: int) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}#{copy:x}"
+
+
+def records(page_id: int | None, copy: int, url: str | None, payload: bytes, refers_to: dict | None, segment: int) -> Iterator[bytes]:
+    """The page's records, without the blank lines that end them. A line break in a URL is escaped.
+
+    ``refers_to`` has the page_id and the copy of the response that a revisit repeats.
+    """
+    name = _name(page_id, copy)
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A") or None
     fields = {"WARC_Target_URI": uri, "WARC_Payload_Digest": "sha1:" + digest(payload), "Content_Type": "application/http;msgtype=response"}
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        yield _record("revisit", name, block, **fields, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To=f"<urn:page:{refers_to}>")
+        yield _record("revisit", name, block, **fields, WARC_Profile=REVISIT_PROFILE, WARC_Refers_To=f"<{_name(refers_to['page_id'], refers_to['copy'])}>")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
@@ -90,19 +104,22 @@ def write(spark: SparkSession, pages: DataFrame, path: str, segment: int = SEGME
     null html is an empty payload, a null url leaves the field out.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("copy", F.monotonically_increasing_id())
     sha = F.sha1("payload")
-    ids = rows.where(F.length("payload") >= min_bytes).select("page_id", sha.alias("sha"))
-    first = ids.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
-    again = ids.distinct().join(first, "sha").where("page_id is null or page_id <> first")
-    # html is shuffled by page, never by payload: a payload may belong to a third of all pages
-    spread = F.when(F.col("page_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col("page_id"))
-    known = again.where("page_id is not null").select("page_id", "sha", "first")
+    ids = rows.where(F.length("payload") >= min_bytes).select("page_id", "copy", sha.alias("sha"))
+    own = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "copy"))
+    first = ids.groupBy("sha").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    # html is shuffled by page, never by payload, and so are ids of a payload that very many pages have
+    limit = max(COPIES, pages.count() // COPIES)
+    again = spread_join(ids.select("page_id", "sha").distinct(), first, "sha", F.col("n") > limit).where("page_id is null or page_id <> first.page_id").select("page_id", "sha", "first")
+    spread = F.when(F.col("page_id").isNull(), F.xxhash64("copy")).otherwise(F.col("page_id"))
+    known = again.where("page_id is not null")
     joined = rows.withColumn("sha", sha).join(known, ["page_id", "sha"], "left")
     if not again.where("page_id is null").isEmpty():
         nameless = again.where("page_id is null").select("sha", F.col("first").alias("other"))
         joined = joined.withColumn("k", F.when(F.col("page_id").isNull(), F.col("sha")).otherwise(spread.cast("string")))
         joined = joined.join(nameless.withColumnRenamed("sha", "k"), "k", "left").withColumn("first", F.coalesce("first", "other"))
-    tagged = joined.select("page_id", "url", "payload", F.col("first").alias("refers_to"), F.monotonically_increasing_id().alias("copy"))
+    tagged = joined.select("page_id", "url", "payload", F.col("first").alias("refers_to"), "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,59 +143,78 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (names in lower case) and block of each record. Raises ValueError at a broken record."""
     at = 0
     while at < len(raw):
+        if raw[at : at + 2] == CRLF:  # the blank lines that end a record
+            at += 2
+            continue
         end = raw.index(CRLF + CRLF, at)
-        lines = raw[at:end].decode().split("\r\n")
+        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
         start, size = end + 4, int(fields["content-length"])
         if start + size > len(raw):
             raise ValueError("a record is longer than its file")
         yield fields, raw[start : start + size]
-        at = start + size + 4
+        at = start + size
 
 
 def _inflate(raw: bytes) -> bytes:
+    """The content of gzip members one after another; other content is given as it is."""
     out = []
-    while raw:
+    while raw[:2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
         out.append(member.decompress(raw))
         raw = member.unused_data
-    return b"".join(out)
+    return b"".join([*out, raw])
 
 
 def _page(name: str) -> int | None:
-    found = name.strip("<>").removeprefix("urn:page:").partition("#")[0]
-    return int(found) if found else None
+    """The page_id in a record id of this writer; null for the ids of others."""
+    found = re.fullmatch(r"<?urn:page:(-?\d+)#[0-9a-f]+>?", name)
+    return int(found[1]) if found else None
 
 
-RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, complete boolean, payload binary"
+def _http(block: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields (names in lower case) and body of an HTTP message."""
+    head, _, body = block.partition(CRLF + CRLF)
+    return {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)}, body
+
+
+RESULT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, complete boolean, payload binary, record_id string"
 
 
 def _row(fields: dict[str, str], block: bytes | None, keep: bool) -> dict:
     """A record of the result; ``complete`` is false if its segments or framing are broken or its digest differs."""
     said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    row = {"page_id": _page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": said, "complete": True, "refers_to": None, "payload": None, "payload_bytes": None}
+    name = fields.get("warc-record-id", "")
+    row = {"page_id": _page(name), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "payload_digest": said or None, "complete": block is not None, "record_id": name.strip("<>")}
+    if block is None:
+        return row
     if row["record_type"] == "revisit":
-        http = dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)
-        return row | {"refers_to": _page(fields["warc-refers-to"]), "payload_bytes": int(http["Content-Length"])}
-    try:
-        payload = unchunked(block[block.index(CRLF + CRLF) + 4 :])
-    except (ValueError, AttributeError):
-        return row | {"complete": False}
+        size = _http(block)[0].get("content-length", "")
+        return row | {"refers_to": _page(fields.get("warc-refers-to", "")), "payload_bytes": int(size) if size.isdigit() else None}
+    payload = block
+    if fields.get("content-type", "").startswith("application/http") or row["record_type"] == "response" and block[:5] == b"HTTP/":
+        http, payload = _http(block)
+        if http.get("transfer-encoding", "").lower() == "chunked":
+            try:
+                payload = unchunked(payload)
+            except ValueError:
+                return row | {"complete": False}
     got = digest(payload)
-    return row | {"payload_bytes": len(payload), "payload_digest": got, "complete": got == said, "payload": payload if keep else None}
+    wrong = fields.get("warc-payload-digest", "").startswith("sha1:") and got != said
+    return row | {"payload_bytes": len(payload), "payload_digest": got, "complete": not wrong, "payload": payload if keep else None}
 
 
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("complete", pa.bool_()), ("payload", pa.binary())])
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("complete", pa.bool_()), ("payload", pa.binary()), ("record_id", pa.string())])
 _SEGMENT = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 
 
-def _batches(rows: Iterator[dict], schema: pa.Schema, of: str) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[of] or b"") + 200
+        size += len(row.get("payload") or b"") + len(row.get("block") or b"") + 200
         if size > BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
             held, size = [], 0
@@ -191,26 +227,24 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 
     Records in one piece never leave their task; only segments are shuffled. A
     record with a missing segment or a wrong total length comes with ``complete``
-    false and no payload.
+    false and no payload. Every record of other writers gives a row too: its page_id
+    is null where the record id is not one of this writer, its payload is the body
+    of an HTTP message (chunked if that says so) or else the block. No files' order
+    or repeats matter; an empty file has no records. Each file is read once.
     """
+    work = Workspace(spark, "warc")
     files = spark.read.format("binaryFile").load(path).select("content")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                found = parse(_inflate(content.as_py()))
-                yield from _batches((_row(f, b, with_payload) for f, b in found if "warc-segment-number" not in f), _ARROW, "payload")
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(f: dict, b: bytes) -> dict:
-            total = f.get("warc-segment-total-length")
-            first = f["warc-type"] != "continuation"
+            if "warc-segment-number" not in f:
+                return _row(f, b, with_payload)
+            total, first = f.get("warc-segment-total-length"), f["warc-type"] != "continuation"
             return {"origin": f["warc-record-id"] if first else f["warc-segment-origin-id"], "number": int(f["warc-segment-number"]), "total": int(total) if total else None, "fields": list(f.items()) if first else None, "block": b}
 
         for batch in batches:
             for content in batch.column("content"):
-                found = parse(_inflate(content.as_py()))
-                yield from _batches((row(f, b) for f, b in found if "warc-segment-number" in f), _SEGMENT, "block")
+                yield from _batches((row(f, b) for f, b in parse(_inflate(content.as_py()))), pa.schema([*_ARROW, *_SEGMENT]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(r: dict) -> dict:
@@ -220,14 +254,15 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
             return _row(dict(r["fields"]), block if fits else None, with_payload)
 
         for batch in batches:
-            yield from _batches((row(batch.slice(k, 1).to_pylist()[0]) for k in range(batch.num_rows)), _ARROW, "payload")
+            yield from _batches((row(batch.slice(k, 1).to_pylist()[0]) for k in range(batch.num_rows)), _ARROW)
 
+    found = work.save(files.mapInArrow(each, f"{RESULT}, origin string, number int, total long, fields map<string,string>, block binary"), "records")
     # one record's segments make one record again, so a group is never larger than a record
     grouped = (
-        files.mapInArrow(segments, "origin string, number int, total long, fields map<string,string>, block binary")
+        found.where("origin is not null")
         .groupBy("origin")
         .agg(F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.first("fields", ignorenulls=True).alias("fields"))
         .where("fields is not null")
         .select("parts", "total", "fields")
     )
-    return files.mapInArrow(whole, RESULT).unionByName(grouped.mapInArrow(finish, RESULT))
+    return found.where("origin is null").select(_ARROW.names).unionByName(grouped.mapInArrow(finish, RESULT))

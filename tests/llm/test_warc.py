@@ -50,7 +50,7 @@ def test_small_payloads_are_never_revisits(spark, tmp_path):
 def test_segments_in_other_files_out_of_order_and_missing(spark, tmp_path):
     whole = list(warc.records(7, 1, "u", b"payload " * 500, None, 600))
     broken = list(warc.records(8, 2, "u", b"other " * 500, None, 600))
-    bad_framing = [warc._record("response", "urn:page:9#3", b"HTTP/1.1 200 OK\r\n\r\n5\r\nabc")]
+    bad_framing = [warc._record("response", "urn:page:9#3", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabc")]
     assert len(whole) > 3
     for k, r in enumerate(reversed(whole + broken[:2] + broken[3:] + bad_framing)):
         (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(r + b"\r\n\r\n"))
@@ -87,3 +87,37 @@ def test_file_sizes_are_bounded(spark, tmp_path, monkeypatch):
     pages = spark.range(95).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html")).coalesce(1)
     warc.write(spark, pages, f"{tmp_path}/w")
     assert len(list((tmp_path / "w").glob("*.gz"))) >= 10 and warc.read(spark, f"{tmp_path}/w").count() == 95
+
+
+def test_revisits_refer_to_records_that_exist(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", "same" if k % 2 else f"own {k}") for k in range(60)] + [(1, "u", "same")], "page_id long, url string, html string")
+    warc.write(spark, pages.repartition(3), f"{tmp_path}/w")
+    found = [f for x in (tmp_path / "w").glob("*.gz") for f, _ in warc.parse(warc._inflate(x.read_bytes()))]
+    responses = {f["warc-record-id"] for f in found if f["warc-type"] == "response"}
+    refers = {f["warc-refers-to"] for f in found if f["warc-type"] == "revisit"}
+    assert len(found) == 61 and len(refers) == 1 and refers <= responses
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, name, block, *more):
+        head = [b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <" + name + b">", b"Content-Length: %d" % len(block), *more]
+        return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"Content-Type: application/http; msgtype=response"
+    plain = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    parts = [
+        record(b"warcinfo", b"urn:uuid:0", b"software: other\r\n", b"Content-Type: application/warc-fields"),
+        record(b"response", b"urn:uuid:1", plain, http, b"WARC-Target-URI: http://a.example/"),
+        record(b"response", b"urn:uuid:2", b"HTTP/1.1 200 OK\r\ntransfer-encoding: Chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n", http, b"WARC-Payload-Digest: sha1:" + warc.digest(b"hello").encode()),
+        record(b"response", b"urn:uuid:3", plain, http, b"WARC-Payload-Digest: sha1:WRONG"),
+        record(b"resource", b"urn:uuid:4", b"raw \xff bytes", b"Content-Type: image/png"),
+        record(b"revisit", b"urn:uuid:5", b"", b"WARC-Refers-To: <urn:uuid:1>"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts[:3]))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts[3:])))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = {r.record_id: r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and {r.page_id for r in got.values()} == {None}
+    assert [bytes(got[f"urn:uuid:{k}"].payload) for k in (1, 2, 4)] == [b"hello", b"hello", b"raw \xff bytes"]
+    assert [got[f"urn:uuid:{k}"].complete for k in range(6)] == [True, True, True, False, True, True]
+    assert got["urn:uuid:1"].url == "http://a.example/" and got["urn:uuid:5"].payload_bytes is None
