@@ -102,6 +102,10 @@ def write(spark: SparkSession, pages: DataFrame, path: str, segment: int = SEGME
     smallest page_id are responses and the others revisits of it; smaller ones are
     responses, as are rows with a null id whose payload no row with an id has. A
     null html is an empty payload, a null url leaves the field out.
+
+    A record's id holds its page_id and its row's number, which tells repeated rows
+    apart. It is counted in two passes, so a revisit's reference is exact where the
+    rows come in the same order each time, as those of files do.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("copy", F.monotonically_increasing_id())

@@ -91,7 +91,8 @@ def test_file_sizes_are_bounded(spark, tmp_path, monkeypatch):
 
 def test_revisits_refer_to_records_that_exist(spark, tmp_path):
     pages = spark.createDataFrame([(k, "u", "same" if k % 2 else f"own {k}") for k in range(60)] + [(1, "u", "same")], "page_id long, url string, html string")
-    warc.write(spark, pages.repartition(3), f"{tmp_path}/w")
+    pages.write.parquet(f"{tmp_path}/pages")
+    warc.write(spark, spark.read.parquet(f"{tmp_path}/pages"), f"{tmp_path}/w")
     found = [f for x in (tmp_path / "w").glob("*.gz") for f, _ in warc.parse(warc._inflate(x.read_bytes()))]
     responses = {f["warc-record-id"] for f in found if f["warc-type"] == "response"}
     refers = {f["warc-refers-to"] for f in found if f["warc-type"] == "revisit"}
