@@ -50,6 +50,8 @@ SIGNATURE = 16
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 1 << 20
 #: Bits of the filter that spares shuffling documents without candidates: 2 ** 26 at most (8 MB).
 BLOOM_BITS = 26
+#: Shingles that are broadcast at most (8 MB of longs).
+BROADCAST_TOKENS = 1_000_000
 #: Rows of a set, and fractions of all rows, above which its row is broadcast: these are as many at most.
 COPIES = 10_000
 #: Sets that a task remembers, lest it gives one twice.
@@ -444,7 +446,9 @@ def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work
         parts = connected_components(links, work).withColumnRenamed("node", "set_id")
         large = shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
         mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        large = large.join(mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id")
+        mixed = work.save(mixed, "tokens")
+        few = mixed.count() <= BROADCAST_TOKENS  # else by a shuffle
+        large = large.join(F.broadcast(mixed) if few else mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id")
         cells = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) AS lo, greatest(k, block) AS hi))"))
         large = work.save(large, "mixed").withColumn("cell", cells).select("token", "cell.*", "block", "set_id", "n", "pos", "component", "x")
         other = large.select("token", "lo", "hi", F.col("block").alias("other"), F.col("set_id").alias("t"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("c"), F.col("x").alias("y"))
