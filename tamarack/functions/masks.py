@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.config import CITIES, FIRST_NAMES, LAST_NAMES, STATES, STREETS
 
-TYPES = ("PERSON_NAME", "STREET_ADDRESS", "CITY", "STATE", "ZIP", "PHONE", "EMAIL", "SSN", "GENERIC_PII")
+#: White space that Python's strip() takes off; a value of nothing else is blank.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+#: ``KEY`` keeps keys keys: 128 bits of the hash, so that different values stay different.
+TYPES = ("PERSON_NAME", "STREET_ADDRESS", "CITY", "STATE", "ZIP", "PHONE", "EMAIL", "SSN", "GENERIC_PII", "KEY")
 
 
 def _pick(words: tuple[str, ...], number: Column) -> Column:
@@ -60,14 +63,24 @@ _MASKS = {
 }
 
 
-def mask_value(value: Column, mask_type: str, salt: str) -> Column:
-    """The mask of a value, as a string. Null, empty and white space stay; the mask is never the value itself."""
-    text = value.cast("string")
-    digest = F.sha2(F.concat(F.lit(f"{salt}|{mask_type}|"), text), 256)
+def is_blank(text: Column) -> Column:
+    return text.isNull() | (F.btrim(text, F.lit(SPACES)) == "")
+
+
+def digest(value: Column, mask_type: str, salt: str) -> Column:
+    """The keyed hash of a value, in hexadecimal."""
+    return F.sha2(F.concat(F.lit(f"{salt}|{mask_type}|"), value.cast("string")), 256)
 
-    def parts(shift: int) -> Callable[[int], Column]:
-        return lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("bigint") + (shift if k == 0 else 0)
 
-    build = _MASKS.get(mask_type, _generic)
-    first = build(parts(0))
-    return F.when(text.isNull() | (F.trim(text) == ""), text).when(first == text, build(parts(1))).otherwise(first)
+def mask_of(digest: Column, mask_type: str, again: bool = False) -> Column:
+    """The mask that a digest picks; another one with ``again``, for a value that is its own mask."""
+    if mask_type == "KEY":
+        return F.concat(F.lit("KEY_"), F.substring(digest, 33 if again else 1, 32))
+    return _MASKS.get(mask_type, _generic)(lambda k: F.conv(F.substring(digest, 1 + 8 * k, 8), 16, 10).cast("bigint") + (1 if again and k == 0 else 0))
+
+
+def mask_value(value: Column, mask_type: str, salt: str) -> Column:
+    """The mask of a value, as a string. Null, empty and white space stay; the mask is never the value itself."""
+    text, hashed = value.cast("string"), digest(value, mask_type, salt)
+    first = mask_of(hashed, mask_type)
+    return F.when(is_blank(text), text).when(first == text, mask_of(hashed, mask_type, again=True)).otherwise(first)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.classify import name_is_pii, name_mask_type
 from tamarack.functions.config import Rules
-from tamarack.functions.masks import mask_value
+from tamarack.functions.masks import digest, is_blank, mask_of
 
 
 def mask_type(name: str, pii_type: str | None = None, rules: Rules = Rules()) -> str:
@@ -30,14 +30,27 @@ def mask_columns(df: DataFrame, profile_types: dict[str, str] | None = None, pro
 
 
 def mask(df: DataFrame, columns: dict[str, str], salt: str, max_lengths: dict[str, int] | None = None) -> DataFrame:
-    """``df`` with the columns masked, as strings, in one projection; cut to ``max_lengths`` where given."""
-    limits = max_lengths or {}
+    """``df`` with the columns masked, as strings, without a shuffle; cut to ``max_lengths`` where given.
+
+    Give keys the type ``KEY`` where masked tables are joined: other types draw from
+    short vocabularies, so that two keys may share a mask.
+    """
+    limits, order = max_lengths or {}, df.columns
+    mark = "_"
+    while any(c.startswith(mark) for c in order):  # names of our own
+        mark += "_"
+    of = {c: F.col(f"`{c}`") for c in order}
+    hashes, firsts = ({c: f"{mark}{what}{k}" for k, c in enumerate(order) if c in columns} for what in ("hash", "first"))
+    # each value is hashed once and its mask made once: every step uses the columns of the one before
+    hashed = df.select(*of.values(), *(digest(of[c], columns[c], salt).alias(h) for c, h in hashes.items()))
+    made = hashed.select("*", *(mask_of(F.col(hashes[c]), columns[c]).alias(f) for c, f in firsts.items()))
 
     def masked(c: str):
-        out = mask_value(F.col(f"`{c}`"), columns[c], salt)
+        text, first = of[c].cast("string"), F.col(firsts[c])
+        out = F.when(is_blank(text), text).when(first == text, mask_of(F.col(hashes[c]), columns[c], again=True)).otherwise(first)
         return (F.substring(out, 1, limits[c]) if c in limits else out).alias(c)
 
-    return df.select(*(masked(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
+    return made.select(*(masked(c) if c in columns else of[c] for c in order))
 
 
 def _filled(c: str):

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from tamarack.functions.config import CITIES, FIRST_NAMES, LAST_NAMES, STATES, STREETS
+from tamarack.functions.masks import SPACES
+
+
+_SPACES = " || ".join(f"chr({ord(c)})" for c in SPACES)
 
 
 def _list(words: tuple[str, ...]) -> str:
@@ -30,8 +34,9 @@ def mask_sql(value: str, mask_type: str, salt: str) -> str:
             "ZIP": digits(0, 5),
             "PHONE": f"({h(0)} % 800 + 200)::VARCHAR || '-' || {digits(1, 3)} || '-' || {digits(2, 4)}",
             "EMAIL": f"lower({pick(FIRST_NAMES, 0)} || '.' || {pick(LAST_NAMES, 1)} || {digits(2, 2)} || '@example.com')",
+            "KEY": f"'KEY_' || substr(sha256('{salt}|{mask_type}|' || ({value})::VARCHAR), {1 + 32 * shift}, 32)",
             "SSN": f"{digits(0, 3)} || '-' || {digits(1, 2)} || '-' || {digits(2, 4)}",
         }.get(mask_type, "'MASKED_' || " + " || ".join(f"chr(({h(k)} % 26 + 97)::INT)" for k in range(4)))
 
     text = f"({value})::VARCHAR"
-    return f"CASE WHEN {text} IS NULL OR trim({text}) = '' THEN {text} WHEN ({build(0)}) = {text} THEN {build(1)} ELSE {build(0)} END"
+    return f"CASE WHEN {text} IS NULL OR trim({text}, {_SPACES}) = '' THEN {text} WHEN ({build(0)}) = {text} THEN {build(1)} ELSE {build(0)} END"

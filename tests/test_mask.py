@@ -8,10 +8,10 @@ from tamarack.functions.masks import TYPES, mask_value
 from tamarack.operators import mask as masking
 from tamarack.plans.mask_sql import mask_sql
 
-VALUES = ["John Doe", "Acme", "123 Main", "", "  ", None, "Ashport", "NY", "12345", "Ünï", "x" * 5000]
+VALUES = ["\t", "\n \u00a0", "John Doe", "Acme", "123 Main", "", "  ", None, "Ashport", "NY", "12345", "Ünï", "x" * 5000]
 SHAPES = {
     "ZIP": r"\d{5}", "SSN": r"\d{3}-\d{2}-\d{4}", "PHONE": r"\d{3}-\d{3}-\d{4}", "STATE": "[A-Z]{2}", "EMAIL": r"[a-z]+\.[a-z]+\d\d@example\.com",
-    "GENERIC_PII": "MASKED_[a-z]{4}", "PERSON_NAME": r"\w+ \w+", "STREET_ADDRESS": r"\d+ [\w ]+", "CITY": r"[\w ]+",
+    "KEY": "KEY_[0-9a-f]{32}", "GENERIC_PII": "MASKED_[a-z]{4}", "PERSON_NAME": r"\w+ \w+", "STREET_ADDRESS": r"\d+ [\w ]+", "CITY": r"[\w ]+",
 }
 
 
@@ -19,7 +19,7 @@ SHAPES = {
 def test_masks(spark, kind):
     df = spark.createDataFrame([(v,) for v in VALUES], "v string")
     got = [r.m for r in df.select(mask_value(F.col("v"), kind, "s").alias("m")).collect()]
-    assert got[3:6] == ["", "  ", None]
+    assert got[:2] == VALUES[:2] and got[5:8] == ["", "  ", None]
     for v, m in zip(VALUES, got):
         if v and v.strip():
             assert re.fullmatch(SHAPES[kind], m) and m != v
@@ -62,3 +62,13 @@ def test_masked_keys_still_join(spark):
     a = spark.range(200).select(F.col("id").alias("k"))
     masked = masking.mask(a, {"k": "SSN"}, "s")
     assert masked.distinct().count() == 200 == masked.join(masked, "k").count()
+
+
+def test_white_space_stays_and_keys_stay_apart(spark):
+    rows = [(k, v, f"key {k}") for k, v in enumerate(["\t", "\n", " \r\n ", "\u00a0", "", None, "x\t", "KEY_"])]
+    df = spark.createDataFrame(rows, "id int, name string, __hash0 string")
+    got = masking.mask(df, {"name": "PERSON_NAME", "__hash0": "KEY"}, "salt").orderBy("id").collect()
+    assert [r.name for r in got[:6]] == [r[1] for r in rows[:6]] and all(r.name not in ("x\t", "KEY_") for r in got[6:])
+    assert len({r["__hash0"] for r in got}) == len(rows) and all(r["__hash0"].startswith("KEY_") for r in got)
+    many = masking.mask(spark.range(200_000).toDF("k"), {"k": "KEY"}, "salt")
+    assert many.distinct().count() == 200_000
