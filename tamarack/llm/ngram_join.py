@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from tamarack.llm.components import connected_components, spread_join
 from tamarack.llm.textbuf import mix, shingles
 from tamarack.llm.workspace import Workspace, small_batches
 
-#: Hash classes of the frequency table, a byte each: broadcasting it is bounded (4 MB).
-SKETCH_BITS = 22
+#: Hash classes of the frequency table, a byte each: broadcasting it is bounded (1 MB), and so are a worker's counts (4 MB).
+SKETCH_BITS = 20
 _CHUNK = 1 << 14
 #: Levels of a table's entry for each doubling of the count.
 LEVELS = 8
@@ -55,7 +56,7 @@ BROADCAST_TOKENS = 1_000_000
 #: Rows of a set, and fractions of all rows, above which its row is broadcast: these are as many at most.
 COPIES = 10_000
 #: Sets that a task remembers, lest it gives one twice.
-DONE = 200_000
+DONE = 50_000
 
 
 def _set_hash(u: np.ndarray) -> int:
@@ -82,9 +83,9 @@ _PARTS_DDL = "chunk int, at binary, counts binary"
 
 
 def _sparse(chunks: Iterator[tuple[int, np.ndarray]], kind: str) -> Iterator[list[pa.Array]]:
-    rows = [(k, at.astype("<u2").tobytes(), c[at].astype(kind).tobytes()) for k, c in chunks if len(at := np.flatnonzero(c))]
-    if rows:
-        yield [pa.array(x, f.type) for x, f in zip(zip(*rows), _PARTS)]
+    rows = ((k, at.astype("<u2").tobytes(), c[at].astype(kind).tobytes()) for k, c in chunks if len(at := np.flatnonzero(c)))
+    while some := list(islice(rows, 16)):
+        yield [pa.array(x, f.type) for x, f in zip(zip(*some), _PARTS)]
 
 
 def _measure(width: int):
@@ -101,7 +102,7 @@ def _measure(width: int):
                 sets.append(_set_hash(u) if len(u) else None)
                 held.append(_bucket(u).astype(np.int32))
                 waiting += len(u)
-                if waiting > 1 << 21 or len(held) > 20_000:
+                if waiting > 1 << 19 or len(held) > 5_000:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.int32)
                     held, waiting = [], 0
             m = len(sizes)

@@ -48,8 +48,15 @@ class Workspace:
             folder.getFileSystem(conf).delete(folder, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches of this session hold at most ``rows`` rows: long texts and their results need memory at once."""
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> None:
+    """Lets Arrow batches of this session be small: long texts and their results need memory at once.
+
+    They hold at most ``rows`` rows and, unless the session sets a limit itself,
+    little over ``size`` bytes; a longer text comes alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's own
+        spark.conf.set(key, size)
