@@ -25,8 +25,10 @@ SHAPE = {
 }
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.classify_fields(fields_from_tables(spark, tables(spark, sf_dir, *SHAPE)), RULES)
+def _classified(spark: SparkSession, sf_dir: str, measured: bool = True) -> DataFrame:
+    """The catalog, read once: its row per column is taken to the driver, so that plans built on it scan no table again."""
+    fields = fields_from_tables(spark, tables(spark, sf_dir, *SHAPE), measured)
+    return profile.classify_fields(spark.createDataFrame(fields.collect(), fields.schema), RULES)
 
 
 def classify_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = profile.pii_summary(profile.table_profiles(_classified(spark, sf_dir)))
+    out = profile.pii_summary(profile.table_profiles(_classified(spark, sf_dir, measured=False)))
     by = F.array_join(F.transform(F.array_sort(F.map_entries("pii_by_table")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
     return out.select("tables_with_pii", "total_pii_fields", by.alias("pii_by_table"))
 
@@ -61,19 +63,19 @@ def profile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.anchor_table(profile.table_profiles(_classified(spark, sf_dir))).select("table_name", "field_count")
+    return profile.anchor_table(profile.table_profiles(_classified(spark, sf_dir, measured=False))).select("table_name", "field_count")
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.infer_relationships(_classified(spark, sf_dir), RULES).select("table_1", "column_1", "table_2", "column_2", "confidence", "key_class")
+    return profile.infer_relationships(_classified(spark, sf_dir, measured=False), RULES).select("table_1", "column_1", "table_2", "column_2", "confidence", "key_class")
 
 
 def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.join_paths(profile.infer_relationships(_classified(spark, sf_dir), RULES)).withColumnsRenamed({"from": "from_table", "to": "to_table"})
+    return profile.join_paths(profile.infer_relationships(_classified(spark, sf_dir, measured=False), RULES)).withColumnsRenamed({"from": "from_table", "to": "to_table"})
 
 
 def subsetting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir)
+    rows = _classified(spark, sf_dir, measured=False)
     profiles = profile.table_profiles(rows)
     return profile.subsetting_order(profiles, profile.infer_relationships(rows, RULES), profile.anchor_table(profiles))
 

@@ -65,6 +65,8 @@ class Run:
     masks: dict[str, dict[str, str]] = field(default_factory=dict)
     loads: DataFrame | None = None
     checks: DataFrame | None = None
+    target_integrity: DataFrame | None = None
+    cause: Exception | None = None
 
 
 def plan_of(classified: DataFrame, relationships: DataFrame, dfs: dict[str, DataFrame], keys: dict[str, list[str]], date_column: str | None = None) -> subset.Plan:
@@ -79,7 +81,7 @@ def plan_of(classified: DataFrame, relationships: DataFrame, dfs: dict[str, Data
     return subset.Plan(anchor, keys, links, date_column)
 
 
-def run(spark: SparkSession, request: Request, dfs: dict[str, DataFrame], keys: dict[str, list[str]], target: str | None = None, fields: DataFrame | None = None, plan: subset.Plan | None = None, rules: Rules = Rules()) -> Run:
+def run(spark: SparkSession, request: Request, dfs: dict[str, DataFrame], keys: dict[str, list[str]], target: str | tables.Target | None = None, fields: DataFrame | None = None, plan: subset.Plan | None = None, rules: Rules = Rules()) -> Run:
     """Runs the steps that the request asks for and stops at the first that fails.
 
     ``fields`` is a catalog with ``table_order`` (by default that of the tables'
@@ -119,15 +121,28 @@ def run(spark: SparkSession, request: Request, dfs: dict[str, DataFrame], keys:
         if request.skip_provisioning or target is None:
             return out
     except Exception as e:
-        out.status, out.error = "failed", str(e)
+        out.status, out.error, out.cause = "failed", str(e), e
         return out
+    load_and_validate(out, target, [x for x in plan.links if {x.table.lower(), x.to_table.lower()} <= wanted], rules)
+    return out
+
+
+def load_and_validate(out: Run, target: str | tables.Target, links: list[subset.Link] = (), rules: Rules = Rules()) -> Run:
+    """Loads a run's masked tables, checks each and, over all of them, the links between loaded tables.
+
+    Sets ``loads``, ``checks`` and ``target_integrity``; a failed load or check
+    makes the status partial. Orphans are reported and fail no check, as a link
+    holds in the target only where both of its columns have the same mask.
+    """
     out.loads, loaded = tables.load_all(out.masked, target)
-    rows = {r.table_name: r for r in out.loads.collect()}
     # expected is what the masked data holds, actual what the target says of itself
     checks = [validate.validate_table(df, t, out.masked[t].count(), out.masked[t].columns, rules) for t, df in loaded.items()]
     out.checks = reduce(DataFrame.unionByName, checks) if checks else None
+    here = {t.lower() for t in loaded}
+    kept = [x for x in links if {x.table.lower(), x.to_table.lower()} <= here]
+    out.target_integrity = subset.integrity_report(loaded, kept) if kept else None
     passed = out.checks is not None and out.checks.where("not passed").isEmpty()
-    if not passed or any(r.status == "failed" for r in rows.values()):
+    if not passed or not out.loads.where("status = 'failed'").isEmpty():
         out.status = "partial"
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     request = provision.Request(tuple(dfs), record_count=RECORDS, start=START, end=END, salt=SALT, skip_provisioning=True)
     run = provision.run(spark, request, dfs, KEYS, plan=PLAN, rules=RULES)
     if run.error:
-        raise RuntimeError(run.error)
+        raise run.cause
     lines = run.masked["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_lines"))
     per = run.masked["orders"].join(lines, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("n_lines"))
     return run.masked["customer"].join(per, "c_custkey").select("c_custkey", "c_name", "n_orders", "n_lines")
@@ -171,7 +172,7 @@ def _provisioned(spark: SparkSession, sf_dir: str) -> provision.Run:
     dfs = tables(spark, sf_dir, "orders", "lineitem", "customer")
     target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-target-")
     request = provision.Request(tuple(dfs), record_count=RECORDS, start=START, end=END, salt=SALT)
-    return provision.run(spark, request, dfs, KEYS, f"{target}/target-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}", plan=PLAN, rules=RULES)
+    return provision.run(spark, request, dfs, KEYS, f"{target}/target-{uuid.uuid4().hex}", plan=PLAN, rules=RULES)
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

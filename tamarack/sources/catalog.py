@@ -22,6 +22,8 @@ TABLES = "table_name string, source_db string, is_multiset boolean, fallback boo
 COLUMNS = [x.split()[0] for x in FIELDS.split(", ")]
 
 _DECLARED = r"(?i)\b((?:VAR)?CHAR\s*\(\s*\d+\s*\)|BIGINT|SMALLINT|INTEGER|FLOAT|(?:DECIMAL|NUMERIC|NUMBER)\s*(?:\(\s*\d+\s*(?:,\s*\d+\s*)?\))?|DATE|TIMESTAMP\s*(?:\(\s*\d+\s*\))?)"
+#: In DDL the size of a character type may be left out.
+_DDL_DECLARED = _DECLARED.replace(r"CHAR\s*\(\s*\d+\s*\)", r"CHAR\b\s*(?:\(\s*\d+\s*\))?", 1)
 _FIELD = r"^\s*(string|decimal|datetime|date)\s*\(.*\)\s*\w+\s*(=\s*NULL\(\"[^\"]*\"\))?\s*(/\*.*\*/)?\s*;\s*(/\*.*\*/)?\s*$"
 
 
@@ -112,10 +114,9 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
 def parse_ddl(texts: DataFrame) -> DataFrame:
     """``fields`` of DDL ``texts(text, file)``; a file may create several tables. Names are in lower case."""
-    columns = F.filter(F.transform(F.split("inner", r",(?![^()]*\))"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.rlike(r"^\w+ " + _DECLARED.replace(r"\b", "", 1)))
+    columns = F.filter(F.transform(F.split("inner", r",(?![^()]*\))"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.rlike(r"^\w+ " + _DDL_DECLARED.replace(r"\b", "", 1)))
     rows = _blocks(texts).select("table_name", "source_db", "source_table", "file", F.posexplode(columns).alias("pos", "line"))
-    declared = _tight(F.regexp_extract("line", _DECLARED, 1))
-    declared = _tight(F.regexp_extract(F.regexp_replace("line", r"^\w+ ", ""), _DECLARED, 1))
+    declared = _tight(F.regexp_extract(F.regexp_replace("line", r"^\w+ ", ""), _DDL_DECLARED, 1))
     return rows.select(
         "table_name",
         "source_db",
@@ -179,21 +180,23 @@ def with_order(fields: DataFrame) -> DataFrame:
     return fields.join(F.broadcast(order), "table_name")
 
 
-def fields_from_tables(spark: SparkSession, dfs: dict[str, DataFrame]) -> DataFrame:
+def fields_from_tables(spark: SparkSession, dfs: dict[str, DataFrame], measured: bool = True) -> DataFrame:
     """``fields`` of given tables, with ``table_order``, and from one pass over each: longest text, rows, and nulls.
 
     ``max_length`` is the longest text of a string column; ``not_null`` says that no value is null.
+    Where ``measured`` is false only rows are counted, so that no column is read; lengths and nulls are null.
     """
     parts = []
     for order, (table, df) in enumerate(dfs.items(), 1):
         entries = []
         for k, f in enumerate(df.schema.fields):
             c = F.col(f"`{f.name}`")
-            size = F.max(F.length(c)) if isinstance(f.dataType, T.StringType) else F.lit(None)
+            size = F.max(F.length(c)) if measured and isinstance(f.dataType, T.StringType) else F.lit(None)
+            nulls = F.count("*") - F.count(c) if measured else F.lit(None).cast("long")
             entries.append(
                 F.struct(
                     F.lit(k + 1).alias("ordinal"), F.lit(f.name).alias("name"), F.lit(f.dataType.typeName()).alias("base_type"), F.lit(f.dataType.simpleString()).alias("declared_type"),
-                    size.cast("int").alias("max_length"), (F.count("*") - F.count(c)).alias("null_count"), F.count("*").alias("row_count"),
+                    size.cast("int").alias("max_length"), nulls.alias("null_count"), F.count("*").alias("row_count"),
                 )
             )
         rows = df.agg(F.array(*entries).alias("x")).select(F.explode("x").alias("x")).select("x.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -64,24 +65,82 @@ def read_report(spark: SparkSession, out: str, request: str, name: str) -> DataF
     return spark.read.schema(T.StructType.fromJson(json.loads(schema))).json(path)
 
 
-def create_empty(spark: SparkSession, schemas: dict[str, T.StructType], target: str) -> None:
+@dataclass(frozen=True)
+class Target:
+    """Where tables are loaded: Parquet below ``folder``, a ``database`` of the catalog, or over JDBC with Spark's options."""
+
+    folder: str | None = None
+    database: str | None = None
+    jdbc: dict | None = None
+
+    def __post_init__(self):
+        if sum(x is not None for x in (self.folder, self.database, self.jdbc)) != 1:
+            raise ValueError("a target is a folder, a database or a JDBC connection")
+
+    def name(self, table: str) -> str:
+        return f"{self.folder}/{table.lower()}" if self.folder is not None else f"{self.database}.{table.lower()}" if self.database is not None else table
+
+
+def _target(target: str | Target) -> Target:
+    return target if isinstance(target, Target) else Target(folder=target)
+
+
+def create_empty(spark: SparkSession, schemas: dict[str, T.StructType], target: str | Target) -> None:
     """Empty target tables, replacing what is there."""
     for table, schema in schemas.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{target}/{table.lower()}")
+        load_table(spark.createDataFrame([], schema), target, table)
 
 
-def load_table(df: DataFrame, target: str, table: str) -> None:
-    """Replaces a target table in one commit: the rows are written aside and then take its place."""
-    spark, path = df.sparkSession, f"{target}/{table.lower()}"
-    df.write.mode("overwrite").parquet(f"{path}__new")
-    fs, old = _fs(spark, path)
-    _, new = _fs(spark, f"{path}__new")
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+def _switch(spark: SparkSession, path: str) -> None:
+    """Puts ``path__new`` in the place of ``path``; what stood there is kept aside until then, and comes back if that fails."""
+    fs, now = _fs(spark, path)
+    new, old = (_fs(spark, f"{path}__{x}")[1] for x in ("new", "old"))
+    if fs.exists(now):
+        fs.delete(old, True)
+        if not fs.rename(now, old):
+            raise OSError(f"can't move {path} to {path}__old")
+    try:
+        moved = fs.rename(new, now)
+    except Exception:
+        fs.rename(old, now)
+        raise
+    if not moved:
+        if fs.exists(old):
+            fs.rename(old, now)
         raise OSError(f"can't move {path}__new to {path}")
+    fs.delete(old, True)
+
+
+def load_table(df: DataFrame, target: str | Target, table: str) -> None:
+    """Replaces a target table's rows.
+
+    In a folder they are written aside and then take its place by two renames;
+    the old rows are there until the new ones are, and a folder
+    ``<table>__old`` without ``<table>`` is what a driver lost between them
+    leaves. A catalog table is overwritten, one over JDBC truncated and filled,
+    so its columns and grants stay.
+    """
+    spark, to = df.sparkSession, _target(target)
+    name = to.name(table)
+    if to.jdbc is not None:
+        df.write.format("jdbc").options(dbtable=name, truncate="true", **to.jdbc).mode("overwrite").save()
+    elif to.database is not None:
+        df.write.mode("overwrite").saveAsTable(name)
+    else:
+        df.write.mode("overwrite").parquet(f"{name}__new")
+        _switch(spark, name)
+
+
+def read_target(spark: SparkSession, target: str | Target, table: str) -> DataFrame:
+    """A loaded table, with its own schema."""
+    to = _target(target)
+    name = to.name(table)
+    if to.folder is not None:
+        return spark.read.parquet(name)
+    return read_source(spark, name, jdbc=to.jdbc)
 
 
-def load_all(dfs: dict[str, DataFrame], target: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+def load_all(dfs: dict[str, DataFrame], target: str | Target) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Loads every table and returns the summary and the loaded tables.
 
     A table without rows or columns is skipped with a warning; one table's failure
@@ -96,7 +155,7 @@ def load_all(dfs: dict[str, DataFrame], target: str) -> tuple[DataFrame, dict[st
                 rows.append((table, 0, len(df.columns), "skipped", "no rows or no columns"))
                 continue
             load_table(df, target, table)
-            loaded[table] = spark.read.parquet(f"{target}/{table.lower()}")
+            loaded[table] = read_target(spark, target, table)
             rows.append((table, loaded[table].count(), len(df.columns), "loaded", None))
         except Exception as e:  # noqa: BLE001  reported as the table's status
             rows.append((table, 0, len(df.columns), "failed", str(e)[:500]))

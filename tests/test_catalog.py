@@ -92,3 +92,15 @@ def test_type_text(spark):
     row = spark.createDataFrame([("DECIMAL(15,0)",)], "d string").select(catalog.base_type(F.col("d")).alias("b"), catalog.type_length(F.col("d")).alias("n")).first()
     assert (row.b, row.n) == ("DECIMAL", 15)
     assert catalog.spark_type("decimal (3)") == T.DecimalType(3, 0) and catalog.spark_type("NUMBER") == T.DecimalType(38, 0) and catalog.spark_type("VARCHAR(9)") == T.StringType()
+
+
+def test_ddl_types_without_a_size(spark):
+    text = "CREATE TABLE db.t (a CHAR NOT NULL, b VARCHAR, c CHAR(3), d VARCHAR ( 7 ) CHARACTER SET LATIN, e DECIMAL, CHARACTERISTIC (a))"
+    rows = catalog.parse_ddl(spark.createDataFrame([(text, "f.sql")], "text string, file string")).orderBy("ordinal").collect()
+    assert [(r.name, r.declared_type, r.max_length, r.not_null) for r in rows] == [("a", "CHAR", None, True), ("b", "VARCHAR", None, False), ("c", "CHAR(3)", 3, False), ("d", "VARCHAR(7)", 7, False), ("e", "DECIMAL", None, False)]
+
+
+def test_unmeasured_fields_count_rows_only(spark):
+    df = spark.createDataFrame([("ab",), (None,)], "x string")
+    r = catalog.fields_from_tables(spark, {"t": df}, measured=False).first()
+    assert (r.name, r.row_count, r.max_length, r.null_count, r.not_null) == ("x", 2, None, None, None)

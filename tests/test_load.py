@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tamarack.operators import validate
 from tamarack.sources import tables
+from tamarack.sources.tables import Target
 
 
 def test_checks(spark):
@@ -46,3 +48,32 @@ def test_sources_and_csv(spark, tmp_path):
     tables.create_empty(spark, {"C": spark.range(1).schema}, str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "c")).count() == 0
     assert tables.load_summary({"b": spark.range(4)}).first().rows_loaded == 4
+
+
+def test_a_failing_switch_keeps_the_old_rows(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "a")
+    tables.load_table(spark.range(3), str(tmp_path), "A")
+    with pytest.raises(Exception):
+        tables._switch(spark, path)  # nothing stands aside
+    assert spark.read.parquet(path).count() == 3
+    tables.load_table(spark.range(5), str(tmp_path), "A")
+    assert spark.read.parquet(path).count() == 5 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a"]
+
+
+def test_targets_in_the_catalog_and_over_jdbc(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE loads LOCATION '{tmp_path}/db'")
+    targets = Target(database="loads"), Target(jdbc={"url": "jdbc:derby:memory:loads;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    try:
+        for target in targets:
+            for n in (3, 2):
+                df = spark.range(n).select(F.col("id").alias("ID"), F.lit("x").alias("V"))
+                summary, loaded = tables.load_all({"A": df, "none": df.where("false")}, target)
+                assert {r.table_name: (r.rows_loaded, r.status) for r in summary.collect()} == {"A": (n, "loaded"), "none": (0, "skipped")}
+                assert sorted(map(tuple, loaded["A"].collect())) == [(i, "x") for i in range(n)]
+            tables.create_empty(spark, {"E": spark.range(1).schema}, target)
+            assert tables.read_target(spark, target, "E").isEmpty()
+    finally:
+        spark.sql("DROP DATABASE loads CASCADE")
+    for bad in ({}, {"folder": "a", "database": "b"}):
+        with pytest.raises(ValueError):
+            Target(**bad)

@@ -40,6 +40,9 @@ def test_whole_job(spark, made, tmp_path):
     row = provision.run_summary(spark, run).first()
     assert (row.tables_profiled, row.rows_extracted, row.rows_loaded, row.validation_status) == (3, 150, 150, "PASSED") and row.values_masked > 1000
     assert {r.table_name for r in run.checks.collect()} == set(THREE)
+    links = ["table_1", "column_1", "table_2", "column_2"]
+    assert sorted(run.target_integrity.select(links).collect()) == sorted(run.integrity.select(links).collect())
+    assert [(r.keys_in_t1, r.keys_in_t2, r.strict_passed) for r in run.target_integrity.where("column_1 = 'business_id' and column_2 = 'bus_nbr'").collect()] == [(50, 50, True)]
     names = {r.business_id for r in run.masked["stg_business_entity"].collect()}
     assert {r.bus_nbr for r in run.masked["business_credit_score"].collect()} == names
 
