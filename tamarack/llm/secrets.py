@@ -8,8 +8,10 @@ characters whose log-likelihood ratio is high is a span of kind ``markov``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 #: A random run: nats in all, nats a character, and distinct characters.
 MIN_LLR, MIN_MEAN, MIN_DISTINCT = 12.0, 0.3, 8
+#: Characters of samples that are counted at once.
+COUNTED = 1 << 20
 SPAN = "array<struct<kind:string,start:int,end:int,value:int>>"
 _PLACE = np.full(128, -1, dtype=np.int64)
 _PLACE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -91,11 +95,18 @@ def learn(spark: SparkSession, docs: DataFrame) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET)))
         for batch in batches:
+            samples, held = ([], []), 0
             for text, made in zip(batch.column("text"), batch.column("made")):
-                text, base = text.as_py(), base_spans(text.as_py())
-                total[1] += transitions(made.as_py() + [text[v:e] for _, _, e, v in base])
-                total[0] += transitions(identifiers(re.findall("[A-Za-z]+", text)))
-                total[0] += transitions([m[0] for m in WORDS.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e, _ in base)])
+                text = text.as_py()
+                base = base_spans(text)
+                samples[1].extend(made.as_py() + [text[v:e] for _, _, e, v in base])
+                samples[0].extend(identifiers(re.findall("[A-Za-z]+", text)))
+                samples[0].extend(m[0] for m in apart(WORDS.finditer(text), base))
+                held += len(text)
+                if held >= COUNTED:
+                    total += [transitions(x) for x in samples]
+                    samples, held = ([], []), 0
+            total += [transitions(x) for x in samples]
         y, i, j = total.nonzero()
         yield pa.RecordBatch.from_pydict({"y": pa.array(y, pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "c": pa.array(total[y, i, j], pa.float64())})
 
@@ -118,14 +129,23 @@ def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     return found
 
 
+def apart(runs: Iterator[re.Match], found: list[tuple[str, int, int, int]]) -> Iterator[re.Match]:
+    """The runs that no span overlaps: each looks up the furthest end of the spans that start before its own end."""
+    if not found:
+        yield from runs
+        return
+    starts, ends = zip(*sorted((s, e) for _, s, e, _ in found))
+    furthest = list(accumulate(ends, max))
+    for m in runs:
+        k = bisect_left(starts, m.end())
+        if not k or furthest[k - 1] <= m.start():
+            yield m
+
+
 def find(text: str, model: Model) -> list[tuple[str, int, int, int]]:
     """All spans by start, then kind; a random run is added where no fixed pattern's span overlaps it."""
     found = base_spans(text)
-    added = [
-        ("markov", m.start(), m.end(), m.start())
-        for m in RUN.finditer(text)
-        if not any(s < m.end() and m.start() < e for _, s, e, _ in found) and model.random(m[0])
-    ]
+    added = [("markov", m.start(), m.end(), m.start()) for m in apart(RUN.finditer(text), found) if model.random(m[0])]
     return sorted(found + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

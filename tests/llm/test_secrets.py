@@ -83,3 +83,19 @@ def test_names_of_every_document_are_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     without = secrets.learn(spark, docs.where(f"not contains(text, '{name}')"))
     assert secrets.learn(spark, docs).llr(name)[0] < without.llr(name)[0] - 10
+
+
+def test_runs_apart_from_spans_are_those_of_a_full_comparison():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice("ab0 =") for _ in range(rng.randrange(80)))
+        spans = [("hex", s, s + rng.randrange(1, 9), s) for s in (rng.randrange(80) for _ in range(rng.randrange(6)))]
+        runs = list(re.finditer("[ab0]+", text))
+        assert list(secrets.apart(iter(runs), spans)) == [m for m in runs if not any(s < m.end() and m.start() < e for _, s, e, _ in spans)]
+
+
+def test_counts_do_not_depend_on_how_samples_are_put_together(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"alpha beta gamma_{k} password=Zx9{k}qLm8 " * (k + 1)) for k in range(20)], "doc_id long, text string")
+    whole = secrets.learn(spark, docs).ratio
+    monkeypatch.setattr(secrets, "COUNTED", 1)
+    assert (secrets.learn(spark, docs).ratio == whole).all()
