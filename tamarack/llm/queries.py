@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontaminate, embeddings, ngram_join, quality, secrets, token_files, toxicity, unigram, warc
+from tamarack.llm import decontaminate, embeddings, ngram_join, packing, quality, secrets, token_files, toxicity, unigram, warc
 from tamarack.llm.labelled import held_out
 from tamarack.llm.workspace import Workspace
 
@@ -79,6 +79,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +97,7 @@ QUERIES = {
         op8_sentencepiece,
         op9_token_counts,
         op10_embedding_near_dedup,
+        op13_packing,
     )
 }
 

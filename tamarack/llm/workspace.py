@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +62,16 @@ def small_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> Non
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":  # Spark's own
         spark.conf.set(key, size)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 500, size: str = "4m") -> Iterator[None]:
+    """``small_batches`` for the jobs that run inside; the session's own settings come back after them."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
