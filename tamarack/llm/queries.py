@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarack.llm import decontaminate, embeddings, ngram_join, packing, quality, secrets, token_files, toxicity, unigram, warc
+from tamarack.llm import decontaminate, embeddings, manifest, ngram_join, packing, quality, search, secrets, token_files, toxicity, unigram, warc
 from tamarack.llm.labelled import held_out
 from tamarack.llm.workspace import Workspace
 
@@ -79,6 +79,22 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof; some claims have one character more than the document that the manifest was made of."""
+    path, docs = Workspace(spark, "op11").path("manifest"), table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.col("n_chars") + 1 if k == 3 else c for k, c in enumerate(plain)]
+    manifest.write(spark, docs, path, claim=F.when(tampered, manifest.leaf_of(*changed)).otherwise(manifest.leaf_of(*plain)))
+    return manifest.verified(spark, path).withColumnRenamed("key", "doc_id")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, docs = Workspace(spark, "op12").path("index"), table(spark, sf_dir, "documents")
+    search.index(spark, docs, path)
+    return search.search(spark, docs, table(spark, sf_dir, "benchmark"), path)
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -97,6 +113,8 @@ QUERIES = {
         op8_sentencepiece,
         op9_token_counts,
         op10_embedding_near_dedup,
+        op11_merkle_manifest,
+        op12_ranked_search,
         op13_packing,
     )
 }
@@ -151,3 +169,53 @@ ORACLE_SQL = {
 ORACLE_SQL["op6_ngram_link_counts"] = ORACLE_SQL["op6_ngram_jaccard_join"].replace(
     "n_shingles, c.component_id\n        FROM s", "n_shingles, c.component_id, coalesce(n.n_links, 0) AS n_links\n        FROM s LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) n USING (doc_id)"
 )
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(({v})::VARCHAR))::VARCHAR || ':' || ({v})::VARCHAR, '-')" for v in values) + ")"
+
+
+_CRC32 = """xor(list_reduce(list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),
+    lambda crc, x: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), xor(crc, x)), 4294967295), 4294967295)"""
+
+
+def _tree_sql(name: str, group: str) -> str:
+    """All levels above the leaves of ``name(group, p, h)``."""
+    return f"""SELECT {group}, 0 AS level, p, h, count(*) OVER (PARTITION BY {group}) AS n FROM {name}
+            UNION ALL SELECT {group}, any_value(level) + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), any_value((n + 1) // 2) FROM {name}_tree WHERE n > 1 GROUP BY {group}, p // 2"""
+
+
+def _fold_sql(name: str, tree: str, start: str) -> str:
+    """Claims carried up a tree: ``doc_id, g, level, p, n, h, proof``."""
+    return f"""{start}
+            UNION ALL SELECT f.doc_id, f.g, f.level + 1, f.p // 2, (f.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.p < f.p THEN s.h || f.h ELSE f.h || s.h END), f.proof || coalesce(s.h, '')
+            FROM {name} f LEFT JOIN {tree} s ON s.g IS NOT DISTINCT FROM f.g AND s.level = f.level AND s.p = xor(f.p, 1) WHERE f.n > 1"""
+
+
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p, {_leaf_sql("n_chars")} AS h, {_leaf_sql(f"n_chars + ({_CRC32} % 7 = 0)::INT")} AS claim FROM documents
+        ), d_tree AS ({_tree_sql("d", "g")}),
+        r AS (SELECT 0 AS g, g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p FROM d_tree WHERE n = 1),
+        r_tree AS ({_tree_sql("r", "g")}),
+        low AS ({_fold_sql("low", "d_tree", "SELECT d.doc_id, d.g, 0 AS level, d.p, t.n, d.claim AS h, '' AS proof FROM d JOIN d_tree t ON t.g IS NOT DISTINCT FROM d.g AND t.level = 0 AND t.p = d.p")}),
+        high AS ({_fold_sql("high", "r_tree", "SELECT low.doc_id, 0 AS g, 0 AS level, r.p, t.n, low.h, low.proof FROM low JOIN r ON r.lang IS NOT DISTINCT FROM low.g JOIN r_tree t ON t.level = 0 AND t.p = r.p WHERE low.n = 1")})
+        SELECT d.doc_id, d.h AS leaf, r.h AS subroot, w.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = w.h AS verified
+        FROM d JOIN r ON r.lang IS NOT DISTINCT FROM d.g JOIN high f ON f.doc_id = d.doc_id AND f.n = 1, (SELECT h FROM r_tree WHERE n = 1) w
+    """
+
+_TERMS = "list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+ORACLE_SQL["op12_ranked_search"] = f"""
+        WITH t AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+        c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM t) GROUP BY ALL),
+        n AS (SELECT doc_id, len(w)::BIGINT AS n FROM t WHERE len(w) > 0),
+        s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+        d AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+        q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+        r AS (
+            SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // l))))::BIGINT AS score
+            FROM q JOIN c USING (term) JOIN d USING (term) JOIN n USING (doc_id), s GROUP BY ALL
+        )
+        SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0) WHERE rank <= 50
+    """
