@@ -40,8 +40,6 @@ BLOCK_ENTRIES, BLOCK_ROWS, LEAST_CLASS = 1 << 19, 4096, 4
 HELD_TERMS = 300_000
 #: An items' block: items, and characters of their texts; a longer item comes alone.
 ITEMS, ITEM_CHARS = 256, 1 << 16
-#: Documents and pairs that are broadcast at most (about 16 MB); more are joined by a shuffle.
-BROADCAST_DOCS, BROADCAST_PAIRS = 300_000, 1_000_000
 TEXT_BYTES, CELLS = 4 << 20, 1 << 20
 #: The score of one term is at most its weight times this.
 UNIT = 1_000_000
@@ -326,9 +324,8 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, path: str, to
     totals = blocks.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l")).first()
     source = _documents(docs)
 
-    def rescored(pairs: DataFrame, few: bool, queries: Broadcast, name: str) -> DataFrame:
-        pairs = pairs.withColumnRenamed("id", "_id")
-        joined = source.join(F.broadcast(pairs) if few else pairs, _key("id") == F.col("_id"))
+    def rescored(pairs: DataFrame, queries: Broadcast, name: str) -> DataFrame:
+        joined = source.join(pairs.withColumnRenamed("id", "_id"), _key("id") == F.col("_id"))
         return work.save(joined.select("id", "text", "items").mapInArrow(_exact(queries), "item int, doc_id long, score long"), name)
 
     out = []
@@ -339,16 +336,15 @@ def search(spark: SparkSession, docs: DataFrame, items: DataFrame, path: str, to
                 continue
             shared = spark.sparkContext.broadcast(queries)
             likely = _first(blocks.mapInArrow(_highest(shared, top), "item int, id long, score long"), top, "id")
-            # at most ``top`` documents for each of at most ``ITEMS`` items
-            first = rescored(work.save(likely.groupBy("id").agg(F.collect_set("item").alias("items")), "likely"), True, shared, "first")
+            likely = work.save(likely.groupBy("id").agg(F.collect_set("item").alias("items")), "likely")
+            first = rescored(F.broadcast(likely), shared, "first")  # at most ``top`` documents for each of at most ``ITEMS`` items
             floor, last = np.zeros(len(texts)), np.full(len(texts), _NO_ID)
             for r in _first(first, top, "doc_id").where(F.col("rank") == top).collect():
                 floor[r["item"]], last[r["item"]] = r.score, _NO_ID if r.doc_id is None else r.doc_id
             bounded = spark.sparkContext.broadcast((queries, floor, last))
             reaching = blocks.mapInArrow(_reaching(bounded), "id long, items array<int>").select("id", F.explode("items").alias("item"))
             pairs = work.save(reaching.groupBy("id").agg(F.collect_set("item").alias("items")), "reaching")
-            size = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("m")).first()
-            exact = rescored(pairs, size.n <= BROADCAST_DOCS and size.m <= BROADCAST_PAIRS, shared, "exact")
+            exact = rescored(pairs, shared, "exact")  # they grow with the documents: Spark broadcasts them only if they are few
             listed = spark.createDataFrame(list(enumerate(names)), f"item int, item_id {items.schema['item_id'].dataType.simpleString()}")
             out.append(work.save(_first(exact, top, "doc_id").join(F.broadcast(listed), "item").select("item_id", "rank", "doc_id", "score"), "ranked"))
     if not out:

@@ -91,7 +91,6 @@ def test_results_equal_brute_force(spark, tmp_path, seed):
 
 def test_copies_ties_and_blocks_of_items(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "ITEMS", 2)
-    monkeypatch.setattr(search, "BROADCAST_DOCS", 3)
     rows = [(k, "same words here again and again") for k in range(300)] + [(k, f"other text number {k}") for k in range(300, 340)] + [(340 + k, "same words") for k in range(20)]
     items = [(k, t) for k, t in enumerate(["same words", "number 305", "again", "text other", "nothing of it", "", "?!"])]
     assert ranked(spark, rows, items, tmp_path, 7) == sorted(brute(rows, items, 7))
