@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tamarack.functions.config import CITIES, FIRST_NAMES, LAST_NAMES, STATES, STREETS
 
 #: White space that Python's strip() takes off; a value of nothing else is blank.
-SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: ``KEY`` keeps keys keys: 128 bits of the hash, so that different values stay different.
 TYPES = ("PERSON_NAME", "STREET_ADDRESS", "CITY", "STATE", "ZIP", "PHONE", "EMAIL", "SSN", "GENERIC_PII", "KEY")
 

@@ -129,3 +129,39 @@ def profile_report(classified: DataFrame, rules: Rules = Rules()) -> DataFrame:
     for part in (pii_summary(profiles), tables, links, anchor):  # one row each
         out = out.join(part.withColumn("_one", F.lit(1)), "_one")
     return out.drop("_one")
+
+
+def fingerprints(classified: DataFrame) -> DataFrame:
+    """``table_name, fingerprint``: one digest for a table's columns, types and classes, whatever their order."""
+    field = F.concat_ws("|", F.lower("name"), F.coalesce("declared_type", F.lit("")), F.coalesce("class", F.lit("")), F.coalesce("pii_type", F.lit("")))
+    return classified.groupBy(F.upper("table_name").alias("table_name")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(field)), "\n"), 256).alias("fingerprint"))
+
+
+def changes(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """What differs between two classified catalogs: ``table_name, column_name, change, before, after``.
+
+    ``change`` is added, dropped, retyped or reclassified (a class or kind of personal
+    data that differs); a column may have two rows. Names are compared without case.
+    Only tables whose fingerprints differ are looked into.
+    """
+    a, b = fingerprints(stored).withColumnRenamed("fingerprint", "f1"), fingerprints(current).withColumnRenamed("fingerprint", "f2")
+    differ = a.join(b, "table_name", "full").where(~F.col("f1").eqNullSafe(F.col("f2"))).select("table_name")
+
+    def fields(rows: DataFrame, side: str) -> DataFrame:
+        kind = F.concat_ws("/", "class", "pii_type")
+        named = rows.select(F.upper("table_name").alias("table_name"), F.lower("name").alias("column_name"), F.struct(F.col("declared_type").alias("type"), kind.alias("kind")).alias(side))
+        return named.join(F.broadcast(differ), "table_name", "left_semi")
+
+    both = fields(stored, "x").join(fields(current, "y"), ["table_name", "column_name"], "full")
+
+    def change(when: F.Column, name: str, before: F.Column, after: F.Column) -> F.Column:
+        return F.when(when, F.struct(F.lit(name).alias("change"), before.alias("before"), after.alias("after")))
+
+    old, new = F.col("x").isNotNull(), F.col("y").isNotNull()
+    found = F.array(
+        change(~old, "added", F.lit(None).cast("string"), F.col("y.type")),
+        change(~new, "dropped", F.col("x.type"), F.lit(None).cast("string")),
+        change(old & new & ~F.col("x.type").eqNullSafe(F.col("y.type")), "retyped", F.col("x.type"), F.col("y.type")),
+        change(old & new & (F.col("x.kind") != F.col("y.kind")), "reclassified", F.col("x.kind"), F.col("y.kind")),
+    )
+    return both.select("table_name", "column_name", F.explode(F.array_compact(found)).alias("c")).select("table_name", "column_name", "c.*")

@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.functions.config import Rules
+from tamarack.operators.ranks import first_rows
 
 #: Rows of a key set that is broadcast at most; larger ones join by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -54,15 +55,21 @@ def fill_blanks(df: DataFrame) -> DataFrame:
 
 
 def anchor_subset(df: DataFrame, keys: list[str], n: int | None, start: str | None = None, end: str | None = None, column: str | None = None, rules: Rules = Rules()) -> DataFrame:
-    """The first ``n`` rows in key order within the date range (all without ``n``)."""
+    """The first ``n`` rows in key order within the date range (all without ``n``), whatever their number."""
     found = date_range(df, column or date_column(df, rules), start, end)
-    return found.orderBy(*(resolve(df, k) for k in keys)).limit(n) if n is not None else found
+    return first_rows(found, [resolve(df, k) for k in keys], n) if n is not None else found
 
 
 def independent_sample(df: DataFrame, keys: list[str], n: int, seed: int | None = None) -> DataFrame:
-    """The first ``n`` rows in key order, or in an order drawn from ``seed``."""
-    cols = [F.col(resolve(df, k)) for k in keys]
-    return df.orderBy(*([F.xxhash64(F.lit(seed), *cols)] if seed is not None else []), *cols).limit(n)
+    """The first ``n`` rows in key order, or in an order drawn from ``seed``: by the MD5 of seed and keys as text, null as nothing."""
+    names = [resolve(df, k) for k in keys]
+    if seed is None:
+        return first_rows(df, names, n)
+    drawn = "_drawn"
+    while drawn in {c.lower() for c in df.columns}:
+        drawn += "_"
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names))
+    return first_rows(df.withColumn(drawn, F.md5(text)), [drawn, *names], n).drop(drawn)
 
 
 def referential_subset(child: DataFrame, to_col: str, parent: DataFrame, from_col: str, key_count: int | None = None) -> DataFrame:
@@ -111,12 +118,14 @@ def join_path(links: tuple[Link, ...], a: str, b: str) -> tuple[str, str] | None
     return next((cols for link in links if (cols := link.between(a, b))), None)
 
 
-def subset(dfs: dict[str, DataFrame], plan: Plan, n: int | None, start: str | None = None, end: str | None = None, max_hops: int = 1, fill_blank_strings: bool = False) -> tuple[dict[str, DataFrame], dict[str, str]]:
+def subset(dfs: dict[str, DataFrame], plan: Plan, n: int | None, start: str | None = None, end: str | None = None, max_hops: int = 1, fill_blank_strings: bool = False, references: tuple = ()) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """The subset of each table and how it was chosen.
 
     The anchor is taken first and kept (``cache``), so that every child follows
     the same rows. Tables within ``max_hops`` links follow by semi-joins, others
     are the first ``n`` rows in key order. Child rows are not limited.
+    ``references`` (``closure.Reference``) close the result: rows that chosen rows
+    refer to are added, over self links and cycles too.
     """
     out: dict[str, DataFrame] = {}
     how: dict[str, str] = {}
@@ -138,6 +147,10 @@ def subset(dfs: dict[str, DataFrame], plan: Plan, n: int | None, start: str | No
         if t not in out:
             out[t] = independent_sample(dfs[t], plan.keys[t], n) if n is not None else dfs[t]
             how[t] = "independent_sample"
+    if references:
+        from tamarack.operators.closure import close
+
+        out = close(out, dfs, references, plan.keys)
     if fill_blank_strings:
         out = {t: fill_blanks(df) for t, df in out.items()}
     return {t: out[t] for t in names}, how
@@ -149,7 +162,16 @@ def extraction_summary(subsets: dict[str, DataFrame], how: dict[str, str]) -> Da
         df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), F.lit(how[t]).alias("query_type"), "row_count", F.lit(len(df.columns)).alias("column_count"))
         for t, df in subsets.items()
     ]
-    return reduce(DataFrame.unionByName, rows).withColumn("warning", F.when(F.col("row_count") == 0, F.concat(F.lit("no rows extracted from "), "table_name")))
+    return _warned(reduce(DataFrame.unionByName, rows))
+
+
+def _warned(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("warning", F.when(F.col("row_count") == 0, F.concat(F.lit("no rows extracted from "), "table_name")))
+
+
+def extraction_rows(spark: SparkSession, counted: list[tuple[str, str, int, int]]) -> DataFrame:
+    """``extraction_summary`` of tables whose rows are counted already."""
+    return _warned(spark.createDataFrame(counted, "table_name string, query_type string, row_count long, column_count int"))
 
 
 def _is_empty(value: Column, zero: bool) -> Column:

@@ -50,9 +50,25 @@ def check_not_null(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
 
 
 def validate_table(df: DataFrame, table: str, expected_rows: int, expected_columns: list[str], rules: Rules = Rules()) -> DataFrame:
-    """All checks of one table."""
-    parts = [check_row_count(df, table, expected_rows), check_columns(df, table, expected_columns), check_not_empty(df, table), check_not_null(df, table, key_columns(df, rules))]
-    return reduce(DataFrame.unionByName, parts)
+    """All checks of one table, from one aggregate over it."""
+    keys = key_columns(df, rules)
+    cells = {c: F.col(f"`{c}`") for c in df.columns}
+    some = reduce(lambda a, b: a | b, [c.isNotNull() for c in cells.values()], F.lit(False))
+    blanks = [F.count_if(cells[k].isNull() | (cells[k].cast("string") == "")).alias(f"_{i}") for i, k in enumerate(keys)]
+    one = df.agg(F.count("*").alias("_n"), F.count_if(some).alias("_some"), *blanks)
+    have = {c.lower() for c in df.columns}
+    missing = ",".join(sorted(c for c in expected_columns if c.lower() not in have))
+
+    def check(name: str, expected, actual, passed):
+        return F.struct(F.lit(name).alias("check_name"), F.lit(expected).cast("string").alias("expected"), actual.cast("string").alias("actual"), passed.alias("passed"))
+
+    checks = [
+        check("row_count", expected_rows, F.col("_n"), F.col("_n") == expected_rows),
+        check("column_existence", "", F.lit(missing), F.lit(not missing)),
+        check("data_not_empty", "true", F.col("_some") > 0, F.col("_some") > 0),
+        *(check(f"not_null_{k}", "0", F.col(f"_{i}"), F.col(f"_{i}") == 0) for i, k in enumerate(keys)),
+    ]
+    return one.select(F.explode(F.array(*checks)).alias("x")).select(F.lit(table).alias("table_name"), "x.*")
 
 
 def validation_rollup(checks: DataFrame, failed_loads: int = 0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,16 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.infer_relationships(_classified(spark, sf_dir, measured=False), RULES).select("table_1", "column_1", "table_2", "column_2", "confidence", "key_class")
 
 
+#: Key names that mean one thing, for the given tables.
+CONCEPTS = (("person", ("c_custkey", "o_custkey", "user_id")), ("text", ("doc_id", "page_id")))
+
+
+def concept_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships with keys that mean the same under different names."""
+    rules = replace(RULES, concepts=CONCEPTS)
+    return profile.infer_relationships(_classified(spark, sf_dir, measured=False), rules).select("table_1", "column_1", "table_2", "column_2", "confidence")
+
+
 def join_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.join_paths(profile.infer_relationships(_classified(spark, sf_dir, measured=False), RULES)).withColumnsRenamed({"from": "from_table", "to": "to_table"})
 
@@ -80,7 +92,7 @@ def subsetting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.subsetting_order(profiles, profile.infer_relationships(rows, RULES), profile.anchor_table(profiles))
 
 
-QUERIES = {f.__name__: f for f in (classify_fields, mask_types, table_profile, pii_summary, profile_totals, anchor_table, relationships, join_paths, subsetting_order)}
+QUERIES = {f.__name__: f for f in (classify_fields, mask_types, table_profile, pii_summary, profile_totals, anchor_table, relationships, concept_relationships, join_paths, subsetting_order)}
 
 
 def _like(patterns: tuple[str, ...]) -> str:
@@ -127,6 +139,8 @@ ORACLE_SQL = {
     "profile_totals": f"{_F} SELECT count(DISTINCT table_name) AS tables_profiled, count(*) AS total_fields, 0 AS n_scd2_tables, sum(row_count - null_count)::BIGINT AS filled_cells FROM f",
     "anchor_table": f"{_F} SELECT table_name, count(*) AS field_count FROM f GROUP BY t, table_name HAVING count(*) FILTER (c = 'control') <= 0.5 * count(*) ORDER BY 2 DESC, t LIMIT 1",
     "relationships": f"{_F}, {_KEYS}, {_RELATED} SELECT table_1, column_1, table_2, column_2, confidence, key_class FROM r",
+    "concept_relationships": f"""{_F}, {_KEYS} SELECT a.table_name AS table_1, a.n AS column_1, b.table_name AS table_2, b.n AS column_2, CASE WHEN a.n = b.n THEN 'high' ELSE 'medium' END AS confidence
+        FROM k a JOIN k b ON a.t < b.t AND (a.token = b.token OR {" OR ".join(f"(a.n IN {names} AND b.n IN {names})" for _, names in CONCEPTS)})""",
     "join_paths": f"{_F}, {_KEYS}, {_RELATED} SELECT table_1 AS from_table, column_1 AS key, table_2 AS to_table, column_2 AS key_to FROM r WHERE key_class = 'key'",
     "subsetting_order": f"""{_F}, {_KEYS}, {_RELATED}, s AS (SELECT table_1 AS x, [t1, t2, 0] AS spot FROM r UNION ALL SELECT table_2, [t1, t2, 1] FROM r),
         a AS (SELECT table_name FROM f GROUP BY t, table_name HAVING count(*) FILTER (c = 'control') <= 0.5 * count(*) ORDER BY count(*) DESC, t LIMIT 1)

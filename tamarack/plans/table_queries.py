@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.functions.config import Rules
+from tamarack.functions.digits import digits_sql, mask_digits
 from tamarack.functions.masks import mask_value
 from tamarack.operators import mask as masking
 from tamarack.operators import subset, validate
+from tamarack.operators.closure import Reference
 from tamarack.plans import provision
 from tamarack.plans.mask_sql import mask_sql
 from tamarack.plans.tpch import END, KEYS, LINKS, PLAN, RECORDS, RULES, SALT, START, tables
-from tamarack.sources import generate
+from tamarack.sources import generate, records
+from tamarack.sources.scratch import Scratch, shared_dir
+from tamarack.sources.tables import Target
 from tamarack.sources.tables import load_summary as summary_of_loads
 
 
@@ -63,10 +68,41 @@ def independent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random sample that a seed fixes; SQL has no such hash, so there is no SQL for it."""
+    """A random sample that a seed fixes."""
     return subset.independent_sample(tables(spark, sf_dir, "part")["part"], ["p_partkey"], RECORDS, seed=7)
 
 
+#: More rows than one task is given.
+MANY = 40_000
+
+
+def anchor_subset_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first lines in key order, so many that they are selected by rank."""
+    out = subset.anchor_subset(tables(spark, sf_dir, "lineitem")["lineitem"], KEYS["lineitem"], MANY)
+    return out.withColumn("l_shipdate", _day("l_shipdate"))
+
+
+def seeded_sample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = subset.independent_sample(tables(spark, sf_dir, "orders")["orders"], ["o_orderkey"], MANY // 3, seed=7)
+    return out.withColumn("o_orderdate", _day("o_orderdate"))
+
+
+_PARENT = "CASE WHEN c_custkey < 3 THEN (c_custkey + 1) % 3 ELSE floor(c_custkey / 7)::BIGINT END"
+_REFERENCES = (Reference("orders", "o_custkey", "customer", "c_custkey"), Reference("customer", "c_parent", "customer", "c_custkey"), Reference("customer", "c_nationkey", "nation", "n_nationkey"))
+
+
+def hierarchy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of the anchor's orders with all whom they refer to as parents, up to a cycle of three: customers and their nations by key."""
+    dfs = tables(spark, sf_dir, "orders", "customer", "nation")
+    dfs["customer"] = dfs["customer"].withColumn("c_parent", F.when(F.col("c_custkey") < 3, (F.col("c_custkey") + 1) % 3).otherwise(F.floor(F.col("c_custkey") / 7)))
+    out, _ = subset.subset({"orders": dfs["orders"], "customer": dfs["customer"], "nation": dfs["nation"].where("n_nationkey < 0")}, PLAN, RECORDS, START, END)
+    from tamarack.operators.closure import close
+
+    closed = close(out, dfs, _REFERENCES, KEYS)
+    people = closed["customer"].select(F.lit("customer").alias("table_name"), F.col("c_custkey").alias("key"), "c_parent")
+    return people.unionByName(closed["nation"].select(F.lit("nation").alias("table_name"), F.col("n_nationkey").cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("c_parent")))
+
+
 def extraction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.extraction_summary(*_subsets(spark, sf_dir, "orders", "lineitem", "customer", "part"))
 
@@ -116,6 +152,37 @@ def mask_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"), F.countDistinct("l_orderkey").alias("n_order_masks"), F.countDistinct("l_partkey").alias("n_part_masks"))
 
 
+def mask_digits_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as integers and as texts like a social security number, each with as many digits and all different."""
+    df = tables(spark, sf_dir, "orders")["orders"].select("o_orderkey", F.regexp_replace(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), r"^(\d{3})(\d{2})(\d{4})$", "$1-$2-$3").alias("ssn"))
+    return df.select("o_orderkey", mask_digits(F.col("o_orderkey"), df.schema["o_orderkey"].dataType, SALT).alias("masked_key"), mask_digits(F.col("ssn"), df.schema["ssn"].dataType, SALT).alias("masked_ssn"))
+
+
+def joined_digit_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys masked digit by digit in two tables join as the keys do: lines and orders by priority."""
+    dfs = tables(spark, sf_dir, "orders", "lineitem")
+    orders = masking.mask(dfs["orders"].select("o_orderkey", "o_orderpriority"), {"o_orderkey": "DIGITS"}, SALT)
+    lines = masking.mask(dfs["lineitem"].select("l_orderkey"), {"l_orderkey": "DIGITS"}, SALT)
+    per = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return orders.join(per, orders["o_orderkey"] == per["l_orderkey"]).groupBy("o_orderpriority").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_orders"))
+
+
+def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as delimited records, some of them broken, read by their layout: records by problem."""
+    from pyspark.sql import types as T
+
+    df = tables(spark, sf_dir, "orders")["orders"]
+    key = F.col("o_orderkey")
+    customer = F.when(key % 10 == 3, "zz").when(key % 10 == 4, "").otherwise(F.col("o_custkey").cast("string"))
+    line = F.concat_ws("\x01", key.cast("string"), customer, F.when(key % 10 == 5, "1996-13-01").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), F.when(key % 10 != 6, F.col("o_orderpriority")))
+    path = Scratch(spark, "records").root
+    df.select(line.alias("value")).write.text(path)
+    schema = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("cust", T.IntegerType(), False), T.StructField("day", T.DateType()), T.StructField("priority", T.StringType(), True, {"max_length": 8})])
+    good, bad = records.split_records(records.read_records(spark, path, schema))
+    listed = bad.select(F.explode(records.PROBLEMS).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+    return listed.unionByName(good.agg(F.lit("none").alias("problem"), F.count("*").alias("n")))
+
+
 def _customer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
     df = tables(spark, sf_dir, "customer")["customer"]
     return df, masking.mask_columns(df, rules=RULES)
@@ -170,9 +237,8 @@ def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _provisioned(spark: SparkSession, sf_dir: str) -> provision.Run:
     dfs = tables(spark, sf_dir, "orders", "lineitem", "customer")
-    target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-target-")
     request = provision.Request(tuple(dfs), record_count=RECORDS, start=START, end=END, salt=SALT)
-    return provision.run(spark, request, dfs, KEYS, f"{target}/target-{uuid.uuid4().hex}", plan=PLAN, rules=RULES)
+    return provision.run(spark, request, dfs, KEYS, Target(versions=f"{shared_dir(spark)}/target-{uuid.uuid4().hex}"), plan=PLAN, rules=RULES)
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +257,41 @@ def generate_for_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("ultimate_bus_id").agg(F.count("*").alias("n"), F.countDistinct("business_id").alias("n_ids"), F.min("rec_seq_nbr").alias("first"))
 
 
+def target_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integrity of the links between the tables as they were loaded."""
+    return _provisioned(spark, sf_dir).target_integrity
+
+
+def dated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date column that rules choose for each table, and its rows within a range."""
+    rules = Rules(date_columns=("o_missing", "L_SHIPDATE", "O_ORDERDATE", "ts", "l_commitdate"))
+    out = []
+    for name, df in tables(spark, sf_dir, "orders", "lineitem", "events", "part").items():
+        column = subset.date_column(df, rules)
+        rows = subset.date_range(df, column, START, "2024-01-15")
+        out.append(rows.agg(F.lit(name).alias("table_name"), F.lit(column).cast("string").alias("date_column"), F.count("*").alias("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def checked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null checks of all columns whose names end as keys do, some values taken away."""
+    df = tables(spark, sf_dir, "lineitem")["lineitem"].withColumn("l_suppkey", F.when(F.col("l_linenumber") != 2, F.col("l_suppkey")))
+    return validate.check_not_null(df, "lineitem", validate.key_columns(df, Rules(checked_keys=("key", "_id"))))
+
+
+def generated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated score for each customer, joined by the business id of its key: customers by segment and risk."""
+    df = tables(spark, sf_dir, "customer")["customer"]
+    scores = generate.credit_scores(spark, df.agg(F.max("c_custkey") + 1).first()[0] or 0)
+    people = df.select(generate.business_id(F.col("c_custkey")).alias("bus_nbr"), "c_mktsegment")
+    return people.join(scores, "bus_nbr").groupBy("c_mktsegment", F.col("cr_scor_risk_clss_cd").alias("risk")).agg(F.count("*").alias("n"), F.sum(F.col("cr_risk_pct").cast("bigint")).alias("pct"))
+
+
 QUERIES = {
     "flagship": flagship,
-    **{f.__name__: f for f in (anchor_subset, referential_children, referential_parents, two_hop_subset, independent_sample, seeded_sample, extraction_summary, integrity_report, integrity_full, integrity_summary)},
+    **{f.__name__: f for f in (anchor_subset, referential_children, referential_parents, two_hop_subset, independent_sample, seeded_sample, anchor_subset_large, seeded_sample_large, hierarchy_closure, extraction_summary, integrity_report, integrity_full, integrity_summary)},
     **{q.__name__: q for q, _ in _MASKS},
-    **{f.__name__: f for f in (mask_lineitem, mask_stats, before_after, masked_join, check_row_count, check_columns, check_not_empty, check_not_null, validation_rollup, load_summary, run_summary, loaded_checks, generate_for_customers)},
+    **{f.__name__: f for f in (mask_lineitem, mask_digits_of_orders, joined_digit_masks, record_problems, mask_stats, before_after, masked_join, check_row_count, check_columns, check_not_empty, check_not_null, validation_rollup, load_summary, run_summary, loaded_checks, target_integrity, dated_rows, checked_keys, generate_for_customers, generated_scores)},
 }
 
 _ANCHOR = f"(SELECT * FROM orders WHERE o_orderdate >= DATE '{START}' AND o_orderdate <= DATE '{END}' ORDER BY o_orderkey LIMIT {RECORDS})"
@@ -226,6 +322,8 @@ _LOADED = f"""SELECT 'orders' AS table_name, count(*) AS n, 6 AS columns, count(
     UNION ALL SELECT 'lineitem', count(*), 11, 0 FROM {_LINES} UNION ALL SELECT 'customer', count(*), 5, 0 FROM {_CUSTOMERS}"""
 _ID = "lpad((100000000 + (({0}) * 7) % 900000000)::VARCHAR, 9, '0')"
 
+_DRAW = "('0x' || substr(md5('0|{0}|' || i::VARCHAR), 1, 8))::BIGINT"
+
 ORACLE_SQL = {
     "flagship": f"""
         SELECT c_custkey, {mask_sql("c_name", "PERSON_NAME", SALT)} AS c_name, n_orders, n_lines FROM customer JOIN (
@@ -236,6 +334,20 @@ ORACLE_SQL = {
     "referential_parents": f"SELECT * FROM {_CUSTOMERS}",
     "two_hop_subset": f"SELECT * FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM {_CUSTOMERS})",
     "independent_sample": f"SELECT * FROM part ORDER BY p_partkey LIMIT {RECORDS}",
+    "seeded_sample": f"SELECT * FROM part ORDER BY md5('7|' || p_partkey::VARCHAR), p_partkey LIMIT {RECORDS}",
+    "seeded_sample_large": f"SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders ORDER BY md5('7|' || o_orderkey::VARCHAR), o_orderkey LIMIT {MANY // 3}",
+    "anchor_subset_large": f"SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate) FROM lineitem ORDER BY {', '.join(KEYS['lineitem'])} LIMIT {MANY}",
+    "hierarchy_closure": f"""WITH RECURSIVE c AS (SELECT *, {_PARENT} AS c_parent FROM customer),
+        r AS (SELECT c_custkey FROM {_CUSTOMERS} UNION SELECT c.c_parent FROM r JOIN c USING (c_custkey) WHERE c_parent IN (SELECT c_custkey FROM customer))
+        SELECT 'customer' AS table_name, c_custkey AS key, c_parent FROM c JOIN r USING (c_custkey)
+        UNION ALL SELECT 'nation', n_nationkey::BIGINT, NULL FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c JOIN r USING (c_custkey))""",
+    "mask_digits_of_orders": f"""SELECT k.o_orderkey, k.masked AS masked_key, s.masked AS masked_ssn FROM ({digits_sql("(SELECT o_orderkey FROM orders)", "o_orderkey", SALT, 64)}) k
+        JOIN ({digits_sql("(SELECT o_orderkey, regexp_replace(lpad(o_orderkey::VARCHAR, 9, '0'), '^(...)(..)(....)$', '\\1-\\2-\\3') AS ssn FROM orders)", "ssn", SALT)}) s USING (o_orderkey)""",
+    "joined_digit_masks": "SELECT o_orderpriority, count(*) AS n_lines, count(DISTINCT o_orderkey) AS n_orders FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
+    "record_problems": """SELECT problem, count(*) AS n FROM (
+        SELECT unnest(CASE WHEN m = 3 THEN ['cust: not of type int'] WHEN m = 4 THEN ['cust: no value'] WHEN m = 5 THEN ['day: not of type date'] WHEN m = 6 THEN ['fields: 3 of 4'] ELSE [] END
+            || CASE WHEN m <> 6 AND len(o_orderpriority) > 8 THEN ['priority: longer than 8'] ELSE [] END) AS problem FROM (SELECT *, o_orderkey % 10 AS m FROM orders)) GROUP BY 1
+        UNION ALL SELECT 'none', count(*) FROM orders WHERE o_orderkey % 10 NOT IN (3, 4, 5, 6) AND len(o_orderpriority) <= 8""",
     "extraction_summary": f"""SELECT t AS table_name, q AS query_type, n AS row_count, c AS column_count, CASE WHEN n = 0 THEN 'no rows extracted from ' || t END AS warning FROM (
         SELECT 'orders' AS t, 'anchor_subset' AS q, count(*) AS n, 6 AS c FROM {_ANCHOR} UNION ALL SELECT 'lineitem', 'referential_subset', count(*), 11 FROM {_LINES}
         UNION ALL SELECT 'customer', 'referential_subset', count(*), 5 FROM {_CUSTOMERS} UNION ALL SELECT 'part', 'independent_sample', least(count(*), {RECORDS}), 6 FROM part)""",
@@ -262,6 +374,15 @@ ORACLE_SQL = {
     "loaded_checks": f"""SELECT table_name, c.check_name, CASE c.check_name WHEN 'row_count' THEN n::VARCHAR WHEN 'column_existence' THEN '' ELSE 'true' END AS expected,
         CASE c.check_name WHEN 'row_count' THEN n::VARCHAR WHEN 'column_existence' THEN '' ELSE 'true' END AS actual, TRUE AS passed
         FROM ({_LOADED}), (VALUES ('row_count'), ('column_existence'), ('data_not_empty')) c(check_name)""",
+    "target_integrity": _INTEGRITY,
+    "dated_rows": f"""SELECT 'orders' AS table_name, 'o_orderdate' AS date_column, count(*) AS n FROM orders WHERE o_orderdate BETWEEN DATE '{START}' AND DATE '2024-01-15'
+        UNION ALL SELECT 'lineitem', 'l_shipdate', count(*) FROM lineitem WHERE l_shipdate BETWEEN DATE '{START}' AND DATE '2024-01-15'
+        UNION ALL SELECT 'events', 'ts', count(*) FROM events WHERE ts BETWEEN DATE '{START}' AND DATE '2024-01-15' UNION ALL SELECT 'part', NULL, count(*) FROM part""",
+    "checked_keys": """SELECT 'lineitem' AS table_name, 'not_null_' || c AS check_name, '0' AS expected, n::VARCHAR AS actual, n = 0 AS passed FROM (
+        SELECT 'l_orderkey' AS c, count(*) FILTER (l_orderkey IS NULL) AS n FROM lineitem UNION ALL SELECT 'l_partkey', count(*) FILTER (l_partkey IS NULL) FROM lineitem
+        UNION ALL SELECT 'l_suppkey', count(*) FILTER (l_linenumber = 2 OR l_linenumber IS NULL OR l_suppkey IS NULL) FROM lineitem)""",
+    "generated_scores": f"""SELECT c_mktsegment, (({_DRAW.format("risk")} % 5) + 1)::VARCHAR AS risk, count(*) AS n, sum({_DRAW.format("risk_pct")} % 100 + 1)::BIGINT AS pct
+        FROM (SELECT c_mktsegment, c_custkey AS i FROM customer) GROUP BY ALL""",
     "generate_for_customers": f"""SELECT ultimate_bus_id, count(*) AS n, count(DISTINCT business_id) AS n_ids, min(i + 1)::INT AS first FROM (
         SELECT i, {_ID.format("i")} AS business_id, {_ID.format("('0x' || substr(md5('0|ultimate|' || i::VARCHAR), 1, 8))::BIGINT % least(n, 20)")} AS ultimate_bus_id
         FROM (SELECT count(*) AS n, unnest(range(count(*))) AS i FROM customer)) GROUP BY 1""",

@@ -2,18 +2,23 @@
 
 ``fields`` rows: ``table_name, source_db, source_table, ordinal, name, base_type,
 declared_type, max_length, not_null, default_null, format, delimiter,
-sign_reserved, is_typed, file, kind``. Files are read whole, a row each, and
-taken apart by regular expressions in Spark.
+sign_reserved, is_typed, file, kind``. Files are read whole, a row each. Layouts are
+taken apart by regular expressions in Spark; DDL first goes through ``ddl.statements``,
+which knows quoted text, comments and the depth of parentheses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.sources import ddl
+
 FIELDS = (
     "table_name string, source_db string, source_table string, ordinal int, name string, base_type string, declared_type string, max_length int, "
     "not_null boolean, default_null string, format string, delimiter string, sign_reserved boolean, is_typed boolean, file string, kind string"
@@ -94,41 +99,58 @@ def fields_from_layouts(spark: SparkSession, path: str) -> DataFrame:
     return parse_layouts(_files(spark, path))
 
 
+_STATEMENT = pa.schema([("file", pa.string()), ("head", pa.string()), ("items", pa.list_(pa.string())), ("shapes", pa.list_(pa.string())), ("tail", pa.string())])
+
+
+def _statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [{"file": r["file"], **found._asdict()} for r in batch.to_pylist() for found in ddl.statements(r["text"] or "")]
+        yield pa.RecordBatch.from_pylist(rows, schema=_STATEMENT)
+
+
 def _blocks(texts: DataFrame) -> DataFrame:
-    statement = r"(?is)(CREATE\s+(?:(?:MULTI)?SET\s+)?TABLE\s[^;]*;?)"
-    found = texts.select("file", F.explode(F.regexp_extract_all("text", F.lit(statement), F.lit(1))).alias("block"))
-    name = r"(?is)^CREATE\s+((?:MULTI)?SET\s+)?TABLE\s+(?:(\w+)\.)?(\w+)"
-    block = F.col("block")
-    inner = F.coalesce(_found(block, r"(?is)^[^(]*\((.*)\)\s*(?:UNIQUE\s+)?PRIMARY\s+INDEX"), _found(block, r"(?is)^[^(]*\((.*)\)"))
+    found = texts.select("text", "file").mapInArrow(_statements, "file string, head string, items array<string>, shapes array<string>, tail string")
+    name = r'(?is)^CREATE\s+((?:MULTI)?SET\s+)?TABLE\s+(?:"?(\w+)"?\s*\.\s*)?"?(\w+)"?'
+    head = F.col("head")
     return found.select(
-        F.upper(F.regexp_extract(block, name, 3)).alias("table_name"),
-        _found(block, name, 2).alias("source_db"),
-        F.regexp_extract(block, name, 3).alias("source_table"),
-        F.regexp_extract(block, name, 1).rlike("(?i)multiset").alias("is_multiset"),
-        (F.regexp_extract(block, r"^([^(]*)", 1).rlike(r"(?i),\s*FALLBACK\b")).alias("fallback"),
-        inner.alias("inner"),
-        "block",
+        F.upper(F.regexp_extract(head, name, 3)).alias("table_name"),
+        _found(head, name, 2).alias("source_db"),
+        F.regexp_extract(head, name, 3).alias("source_table"),
+        F.regexp_extract(head, name, 1).rlike("(?i)multiset").alias("is_multiset"),
+        head.rlike(r"(?i),\s*FALLBACK\b").alias("fallback"),
+        "items",
+        "shapes",
+        "tail",
         "file",
     )
 
 
 def parse_ddl(texts: DataFrame) -> DataFrame:
-    """``fields`` of DDL ``texts(text, file)``; a file may create several tables. Names are in lower case."""
-    columns = F.filter(F.transform(F.split("inner", r",(?![^()]*\))"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x.rlike(r"^\w+ " + _DDL_DECLARED.replace(r"\b", "", 1)))
-    rows = _blocks(texts).select("table_name", "source_db", "source_table", "file", F.posexplode(columns).alias("pos", "line"))
-    declared = _tight(F.regexp_extract(F.regexp_replace("line", r"^\w+ ", ""), _DDL_DECLARED, 1))
+    """``fields`` of DDL ``texts(text, file)``; a file may create several tables. Names are in lower case.
+
+    What stands in quotes or comments counts as no part of the DDL but for quoted names and formats.
+    """
+
+    def spaced(x: Column) -> Column:
+        return F.trim(F.regexp_replace(x, r"\s+", " "))
+
+    both = F.arrays_zip(F.transform("items", spaced).alias("line"), F.transform("shapes", spaced).alias("shape"))
+    declares = r'^(?:"[^"]*"|\w+) ' + _DDL_DECLARED.replace(r"\b", "", 1)
+    rows = _blocks(texts).select("table_name", "source_db", "source_table", "file", F.posexplode(F.filter(both, lambda x: x["shape"].rlike(declares))).alias("pos", "x"))
+    line, shape, named = F.col("x.line"), F.col("x.shape"), r'^(?:"([^"]*)"|(\w+))'
+    declared = _tight(F.regexp_extract(F.regexp_replace(shape, named + " ", ""), _DDL_DECLARED, 1))
     return rows.select(
         "table_name",
         "source_db",
         "source_table",
         (F.col("pos") + 1).alias("ordinal"),
-        F.lower(F.regexp_extract("line", r"^(\w+)", 1)).alias("name"),
+        F.lower(F.coalesce(_found(line, named, 1), _found(line, named, 2))).alias("name"),
         base_type(declared).alias("base_type"),
         declared.alias("declared_type"),
         F.when(declared.rlike("CHAR"), type_length(declared)).alias("max_length"),
-        F.col("line").rlike(r"(?i)\bNOT NULL\b").alias("not_null"),
+        shape.rlike(r"(?i)\bNOT NULL\b").alias("not_null"),
         F.lit(None).cast("string").alias("default_null"),
-        _found(F.col("line"), r"(?i)FORMAT '([^']*)'").alias("format"),
+        F.when(shape.rlike(r"(?i)\bFORMAT '"), _found(line, r"(?i)FORMAT '([^']*)'")).alias("format"),
         F.lit(None).cast("string").alias("delimiter"),
         F.lit(False).alias("sign_reserved"),
         F.lit(False).alias("is_typed"),
@@ -139,17 +161,17 @@ def parse_ddl(texts: DataFrame) -> DataFrame:
 
 def parse_ddl_tables(texts: DataFrame) -> DataFrame:
     """``tables`` of DDL texts: kind of table and primary index."""
-    index = r"(?is)\)\s*(UNIQUE\s+)?PRIMARY\s+INDEX\s*(\w*)\s*\(([^)]*)\)"
-    block = F.col("block")
-    listed = F.regexp_extract(block, index, 3)
+    index = r"(?is)\b(UNIQUE\s+)?PRIMARY\s+INDEX\s*(\w*)\s*\(([^)]*)\)"
+    tail = F.col("tail")
+    listed = F.regexp_extract(tail, index, 3)
     return _blocks(texts).select(
         "table_name",
         "source_db",
         "is_multiset",
         "fallback",
-        F.when(listed != "", F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x)))).otherwise(F.array().cast("array<string>")).alias("index_columns"),
-        (F.regexp_extract(block, index, 1) != "").alias("index_unique"),
-        _found(block, index, 2).alias("index_name"),
+        F.when(listed != "", F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(F.regexp_replace(x, '"', ""))))).otherwise(F.array().cast("array<string>")).alias("index_columns"),
+        (F.regexp_extract(tail, index, 1) != "").alias("index_unique"),
+        _found(tail, index, 2).alias("index_name"),
         "file",
     )
 
@@ -229,5 +251,8 @@ def to_struct_type(fields: DataFrame, table: str) -> T.StructType:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "\x01") -> DataFrame:
-    """Records of delimited files by a declared schema; empty values are null."""
+    """Records of delimited files by a declared schema; empty values are null, and so are values that do not fit.
+
+    ``records.read_records`` keeps records that do not fit aside instead.
+    """
     return spark.read.csv(path, schema=schema, sep=sep, nullValue="", dateFormat="yyyy-MM-dd", timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS", quote="")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import decimal
 import json
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tamarack.sources import versions
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -18,8 +21,39 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def read_source(spark: SparkSession, name: str, folder: str | None = None, jdbc: dict | None = None) -> DataFrame:
-    """A table: Parquet below ``folder``, or over JDBC with Spark's options (``partitionColumn`` splits the read), or of the catalog."""
+def _literal(value) -> str:
+    if isinstance(value, bool) or not isinstance(value, (int, float, decimal.Decimal, str)):
+        raise ValueError(f"bounds are numbers or texts, not {type(value).__name__}")
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def jdbc_predicates(spark: SparkSession, name: str, jdbc: dict, column: str, parts: int) -> list[str]:
+    """Conditions that deal a table over JDBC into ``parts`` of about as many rows, by bounds that the database measures.
+
+    The database numbers the rows in the order of ``column`` (a number or a text, skewed
+    or not) and hands over the first value of each part. Rows of one value stay together, so a
+    value with more rows than a part makes a larger one. Null goes with the first part.
+    """
+    key = f'"{column}"'
+    read = spark.read.format("jdbc").options(**jdbc)
+    total = int(read.option("query", f"SELECT COUNT(*) AS n FROM {name}").load().first()[0])
+    step = max(-(-total // parts), 1)
+    ranked = f"SELECT k FROM (SELECT k, ROW_NUMBER() OVER () AS r FROM (SELECT {key} AS k FROM {name} WHERE {key} IS NOT NULL ORDER BY {key}) a) b WHERE r > 1 AND MOD(r - 1, {step}) = 0"
+    bounds = [_literal(v) for v in dict.fromkeys(r[0] for r in read.option("query", ranked + " ORDER BY r").load().collect())]
+    if not bounds:
+        return ["1 = 1"]
+    inner = [f"{key} >= {a} AND {key} < {b}" for a, b in zip(bounds, bounds[1:])]
+    return [f"{key} IS NULL OR {key} < {bounds[0]}", *inner, f"{key} >= {bounds[-1]}"]
+
+
+def read_source(spark: SparkSession, name: str, folder: str | None = None, jdbc: dict | None = None, split: tuple[str, int] | None = None) -> DataFrame:
+    """A table: Parquet below ``folder``, or over JDBC with Spark's options (``partitionColumn`` splits the read), or of the catalog.
+
+    ``split=(column, parts)`` splits a read over JDBC by measured bounds (``jdbc_predicates``).
+    """
+    if jdbc and split:
+        options = {k: v for k, v in jdbc.items() if k != "url"}
+        return spark.read.jdbc(jdbc["url"], name, predicates=jdbc_predicates(spark, name, jdbc, *split), properties=options)
     if jdbc:
         return spark.read.format("jdbc").options(dbtable=name, **jdbc).load()
     return spark.read.parquet(f"{folder}/{name}.parquet") if folder else spark.table(name)
@@ -67,15 +101,16 @@ def read_report(spark: SparkSession, out: str, request: str, name: str) -> DataF
 
 @dataclass(frozen=True)
 class Target:
-    """Where tables are loaded: Parquet below ``folder``, a ``database`` of the catalog, or over JDBC with Spark's options."""
+    """Where tables are loaded: Parquet below ``folder``, a ``database`` of the catalog, over JDBC with Spark's options, or a folder of ``versions``, which change together."""
 
     folder: str | None = None
     database: str | None = None
     jdbc: dict | None = None
+    versions: str | None = None
 
     def __post_init__(self):
-        if sum(x is not None for x in (self.folder, self.database, self.jdbc)) != 1:
-            raise ValueError("a target is a folder, a database or a JDBC connection")
+        if sum(x is not None for x in (self.folder, self.database, self.jdbc, self.versions)) != 1:
+            raise ValueError("a target is a folder, a database, a JDBC connection or a folder of versions")
 
     def name(self, table: str) -> str:
         return f"{self.folder}/{table.lower()}" if self.folder is not None else f"{self.database}.{table.lower()}" if self.database is not None else table
@@ -121,6 +156,11 @@ def load_table(df: DataFrame, target: str | Target, table: str) -> None:
     so its columns and grants stay.
     """
     spark, to = df.sparkSession, _target(target)
+    if to.versions is not None:
+        version = versions.new_version()
+        df.write.parquet(versions.path_of(to.versions, version, table))
+        versions.commit(spark, to.versions, version, [table])
+        return
     name = to.name(table)
     if to.jdbc is not None:
         df.write.format("jdbc").options(dbtable=name, truncate="true", **to.jdbc).mode("overwrite").save()
@@ -134,32 +174,66 @@ def load_table(df: DataFrame, target: str | Target, table: str) -> None:
 def read_target(spark: SparkSession, target: str | Target, table: str) -> DataFrame:
     """A loaded table, with its own schema."""
     to = _target(target)
+    if to.versions is not None:
+        return versions.read(spark, to.versions, table)
     name = to.name(table)
     if to.folder is not None:
         return spark.read.parquet(name)
     return read_source(spark, name, jdbc=to.jdbc)
 
 
+SUMMARY = "table_name string, rows_loaded long, columns int, status string, error string"
+
+
 def load_all(dfs: dict[str, DataFrame], target: str | Target) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Loads every table and returns the summary and the loaded tables.
 
     A table without rows or columns is skipped with a warning; one table's failure
     does not stop the others. Loaded tables are read with the schema of their own
-    files, so a column that is missing there is missing here. Summary: ``table_name, rows_loaded, columns, status, error``.
+    files, so a column that is missing there is missing here. Rows written as Parquet
+    are counted while they are written. In a folder of versions all tables change in
+    one commit: where one fails, the others are ``rolled back`` and readers keep what
+    they had. Summary: ``table_name, rows_loaded, columns, status, error``.
     """
-    spark = next(iter(dfs.values())).sparkSession
+    spark, to = next(iter(dfs.values())).sparkSession, _target(target)
+    if to.versions is not None:
+        return _load_together(spark, dfs, to.versions)
     rows, loaded = [], {}
     for table, df in dfs.items():
         try:
             if not df.columns or df.isEmpty():
                 rows.append((table, 0, len(df.columns), "skipped", "no rows or no columns"))
                 continue
-            load_table(df, target, table)
+            seen = Observation() if to.folder is not None else None
+            load_table(df if seen is None else df.observe(seen, F.count(F.lit(1)).alias("n")), target, table)
             loaded[table] = read_target(spark, target, table)
-            rows.append((table, loaded[table].count(), len(df.columns), "loaded", None))
+            rows.append((table, loaded[table].count() if seen is None else seen.get["n"], len(df.columns), "loaded", None))
+        except Exception as e:  # noqa: BLE001  reported as the table's status
+            rows.append((table, 0, len(df.columns), "failed", str(e)[:500]))
+    return spark.createDataFrame(rows, SUMMARY), loaded
+
+
+def _load_together(spark: SparkSession, dfs: dict[str, DataFrame], folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    version, rows, loaded = versions.new_version(), [], {}
+    for table, df in dfs.items():
+        path = versions.path_of(folder, version, table)
+        try:
+            n = 0
+            if df.columns:
+                seen = Observation()
+                df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+                n = seen.get["n"]
+            if n:
+                loaded[table] = spark.read.parquet(path)
+            rows.append((table, n, len(df.columns), "loaded", None) if n else (table, 0, len(df.columns), "skipped", "no rows or no columns"))
         except Exception as e:  # noqa: BLE001  reported as the table's status
             rows.append((table, 0, len(df.columns), "failed", str(e)[:500]))
-    return spark.createDataFrame(rows, "table_name string, rows_loaded long, columns int, status string, error string"), loaded
+    if any(status == "failed" for *_, status, _ in rows):
+        rows = [(t, 0, c, "rolled back", "another table failed") if status == "loaded" else (t, n, c, status, error) for t, n, c, status, error in rows]
+        loaded = {}
+    elif loaded:
+        versions.commit(spark, folder, version, list(loaded))
+    return spark.createDataFrame(rows, SUMMARY), loaded
 
 
 def load_summary(dfs: dict[str, DataFrame]) -> DataFrame:

@@ -77,3 +77,18 @@ def test_targets_in_the_catalog_and_over_jdbc(spark, tmp_path):
     for bad in ({}, {"folder": "a", "database": "b"}):
         with pytest.raises(ValueError):
             Target(**bad)
+
+
+def test_reads_over_jdbc_are_split_by_measured_bounds(spark):
+    jdbc = {"url": "jdbc:derby:memory:split;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    skewed = spark.range(3000).select(F.pow("id", F.lit(3)).cast("bigint").alias("K"), F.concat(F.lit("o'"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("T"), F.when(F.col("id") % 100 > 0, F.col("id") % 3).alias("FEW"))
+    tables.load_table(skewed, Target(jdbc=jdbc | {"createTableColumnTypes": "T VARCHAR(20)"}), "S")
+    for column, most in (("K", 800), ("T", 800)):
+        df = tables.read_source(spark, "S", jdbc=jdbc, split=(column, 4))
+        sizes = [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert df.count() == 3000 and len(sizes) == 4 and max(sizes) <= most
+        assert df.exceptAll(skewed).isEmpty()
+    few = tables.read_source(spark, "S", jdbc=jdbc, split=("FEW", 10))
+    assert few.count() == 3000 and few.rdd.getNumPartitions() == 4  # one for each value, with null in the first
+    tables.load_table(skewed.where("false"), Target(jdbc=jdbc), "E")
+    assert tables.read_source(spark, "E", jdbc=jdbc, split=("K", 4)).count() == 0

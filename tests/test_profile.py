@@ -72,3 +72,11 @@ def test_report(classified, tmp_path, spark):
     row = read_report(spark, str(tmp_path), "r1", "profile").first()
     assert row.tables_profiled == 5 and row.anchor_table == "STG_BUSINESS_ENTITY" and len(row.relationships) == 21 and len(row.tables) == 5
     assert read_report(spark, str(tmp_path), "r2", "profile") is None
+
+
+def test_changes_since_a_stored_profile(spark):
+    stored = spark.createDataFrame([("T", "bus_id", "int", "key", None), ("T", "bus_nm", "string", "pii", "PERSON_NAME"), ("T", "x", "int", "business", None), ("U", "a", "int", "business", None), ("GONE", "g", "int", "business", None)], "table_name string, name string, declared_type string, class string, pii_type string")
+    now = spark.createDataFrame([("t", "BUS_ID", "bigint", "key", None), ("t", "bus_nm", "string", "business", None), ("t", "y", "date", "business", None), ("u", "A", "int", "business", None)], stored.schema)
+    got = sorted(map(tuple, profile.changes(stored, now).collect()), key=str)
+    assert got == sorted([("T", "bus_id", "retyped", "int", "bigint"), ("T", "bus_nm", "reclassified", "pii/PERSON_NAME", "business"), ("T", "x", "dropped", "int", None), ("T", "y", "added", None, "date"), ("GONE", "g", "dropped", "int", None)], key=str)
+    assert profile.changes(stored, stored.orderBy("name")).isEmpty() and profile.fingerprints(stored).count() == 3

@@ -1,11 +1,13 @@
 import pytest
+from pyspark.sql import functions as F
 
 from schemas import ROWS
-from tamarack.operators import subset
+from tamarack.operators import mask as masking
+from tamarack.operators import profile, subset, validate
 from tamarack.operators.subset import Link
 from tamarack.plans import provision
 from tamarack.plans.provision import Request
-from tamarack.sources import generate, tables
+from tamarack.sources import catalog, generate, tables, versions
 
 KEYS = {"stg_business_entity": ["business_id"], "business_credit_score": ["bus_nbr"], "business_address_match": ["addr_match_nbr"], "etl_cyc_ctl": ["etl_cyc_id"], "etl_src_ctl": ["etl_cyc_id"]}
 THREE = ("stg_business_entity", "business_credit_score", "business_address_match")
@@ -85,3 +87,47 @@ def test_bad_requests(bad):
 
 def test_cap():
     assert Request(("t",), record_count=20_000, max_records=10_000).record_count == 10_000 and Request(("t",), record_count=20_000).record_count == 20_000
+
+
+def test_one_commit_one_scan_and_release(spark, made, tmp_path):
+    target = tables.Target(versions=str(tmp_path))
+    run = provision.run(spark, Request(THREE, record_count=20), made, KEYS, target)
+    assert run.status == "completed" and {r.status for r in run.loads.collect()} == {"loaded"} and versions.latest(spark, str(tmp_path)).number == 1
+    assert {r.table_name: (r.rows_masked, r.total_values_masked) for r in run.stats.collect()} == {t: tuple(masking.mask_stats(run.subsets[t], run.masks[t], t).select("rows_masked", "total_values_masked").first()) for t in THREE}
+    assert sorted(run.extracted.collect()) == sorted(subset.extraction_summary(run.subsets, run.how).collect())
+    before = provision.run_summary(spark, run).first()
+    run.release()
+    run.release()
+    assert provision.run_summary(spark, run).first() == before and run.checks.count() > 9
+    assert tables.read_target(spark, target, THREE[0]).count() == 20
+    plan = validate.validate_table(tables.read_target(spark, target, THREE[0]), "t", 20, [])._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan parquet") == 1
+
+
+def test_a_failing_table_rolls_the_others_back(spark, made, tmp_path):
+    target = tables.Target(versions=str(tmp_path))
+    provision.run(spark, Request(THREE, record_count=20), made, KEYS, target)
+    broken = made | {THREE[1]: made[THREE[1]].withColumn("viabl_rt", F.when(F.length("viabl_rt") > 0, F.raise_error(F.lit("no"))).otherwise(F.col("viabl_rt")))}
+    run = provision.run(spark, Request(THREE, record_count=30), broken, KEYS, target)
+    assert run.status == "failed" and tables.read_target(spark, target, THREE[0]).count() == 20
+
+
+def test_keep_format(spark, made):
+    request = Request(("business_credit_score", "stg_business_entity"), record_count=50, keep_format=True, skip_provisioning=True)
+    run = provision.run(spark, request, made, KEYS)
+    zips = run.masked["stg_business_entity"].select("phys_zip_cd").collect()
+    assert run.masks["stg_business_entity"]["phys_zip_cd"] == "DIGITS" and all(len(r.phys_zip_cd) == 5 and r.phys_zip_cd.isdigit() for r in zips)
+
+
+def test_a_stored_profile_is_compared(spark, made):
+    t = "business_credit_score"
+    stored = catalog.fields_from_tables(spark, {t: made[t]})
+    same = provision.run(spark, Request((t,), record_count=5, skip_profiling=True, skip_provisioning=True), made, KEYS, fields=stored)
+    assert same.status == "completed" and same.drift.isEmpty()
+    changed = {t: made[t].drop("finc_pct").withColumn("bus_phone", F.lit("1")).withColumn("row_ver_nbr", F.lit(1))}
+    warned = provision.run(spark, Request((t,), record_count=5, skip_profiling=True, skip_provisioning=True), changed, KEYS, fields=stored)
+    assert warned.status == "completed" and {(r.column_name, r.change) for r in warned.drift.collect()} == {("finc_pct", "dropped"), ("bus_phone", "added"), ("row_ver_nbr", "retyped")}
+    stopped = provision.run(spark, Request((t,), record_count=5, skip_profiling=True, skip_provisioning=True, on_drift="stop"), changed, KEYS, fields=stored)
+    assert stopped.status == "failed" and "finc_pct dropped" in stopped.error
+    layout = catalog.fields_from_tables(spark, {t: made[t]}).withColumn("kind", F.lit("ddl")).withColumn("declared_type", F.lit("CHAR(9)"))
+    assert provision.drift(spark, profile.classify_fields(layout), {t: made[t]}).isEmpty()  # names of types are of another kind
