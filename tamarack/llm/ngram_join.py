@@ -41,8 +41,10 @@ SKETCH_BITS = 20
 _CHUNK = 1 << 14
 #: Levels of a table's entry for each doubling of the count.
 LEVELS = 8
-#: A class of more occurrences than this, and than so many times the mean, is dealt out in blocks.
-HOT_SETS, HOT_SHARE = 512, 8
+#: A class of more occurrences than this, and than so many times the mean, is dealt out in blocks; and so is any of more than ``MOST_SETS``, which bounds what one task sorts.
+HOT_SETS, HOT_SHARE, MOST_SETS = 512, 8, 1 << 18
+#: Sets of one shingle in each of the two blocks of a cell, where all pairs between components meet.
+CELL_SETS = 512
 #: Neighbours in a shingle's order that a set is compared with before components are known.
 NEIGHBOURS = 3
 #: Longs that hold the parities of a set's 64 * SIGNATURE hash classes.
@@ -159,7 +161,7 @@ def _frequencies(parts: DataFrame) -> Rarity:
     for row in some.repartition(F.col("chunk")).mapInArrow(level, f"{_PARTS_DDL}, n long").collect():
         levels[row.chunk * _CHUNK + np.frombuffer(row["at"], dtype="<u2").astype(np.int64)] = np.frombuffer(row["counts"], dtype=np.uint8)
         n += row.n
-    return Rarity(levels, max(HOT_SETS, HOT_SHARE * n / len(levels)))
+    return Rarity(levels, min(max(HOT_SETS, HOT_SHARE * n / len(levels)), MOST_SETS))
 
 
 def _prefixes(width: int, percent: int, rarity: Broadcast):
@@ -446,10 +448,12 @@ def _named(spark: SparkSession, texts: DataFrame, width: int, percent: int, work
     if not shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1").isEmpty():
         parts = connected_components(links, work).withColumnRenamed("node", "set_id")
         large = shared.where(f"size > {NEIGHBOURS + 1} or blocks > 1").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        # each shingle's own number of sets says how many blocks its cells are made of
+        mixed = large.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / CELL_SETS).cast("int").alias("parts")).where("lo < hi").select("token", "parts")
         mixed = work.save(mixed, "tokens")
         few = mixed.count() <= BROADCAST_TOKENS  # else by a shuffle
-        large = large.join(F.broadcast(mixed) if few else mixed, "token", "left_semi").join(sign.withColumnRenamed("signature", "x"), "set_id")
+        large = large.drop("block", "blocks").join(F.broadcast(mixed) if few else mixed, "token").withColumnRenamed("parts", "blocks").withColumn("block", F.expr("cast(pmod(xxhash64(set_id), blocks) as int)"))
+        large = large.join(sign.withColumnRenamed("signature", "x"), "set_id")
         cells = F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) AS lo, greatest(k, block) AS hi))"))
         large = work.save(large, "mixed").withColumn("cell", cells).select("token", "cell.*", "block", "set_id", "n", "pos", "component", "x")
         other = large.select("token", "lo", "hi", F.col("block").alias("other"), F.col("set_id").alias("t"), F.col("n").alias("m"), F.col("pos").alias("qos"), F.col("component").alias("c"), F.col("x").alias("y"))

@@ -1,8 +1,9 @@
 """Secrets in texts: fixed patterns, and strings that a Markov model finds random.
 
 Two first-order character models, of random strings and of ordinary
-identifiers, are trained from labelled samples; a run of 20 or more token
-characters whose log-likelihood ratio is high is a span of kind ``markov``.
+identifiers, are trained from labelled samples; a run of 12 or more token
+characters, or what fixed patterns leave of one, is a span of kind ``markov`` if
+its log-likelihood ratio is high for its length.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # as [0-9a-f]+ with shorter matches dropped: both start where a run starts
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
+SHORT = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 WORDS = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 MIN_ASSIGN, MIN_ACCESS = 6, 20
-#: A random run: nats in all, nats a character, and distinct characters.
-MIN_LLR, MIN_MEAN, MIN_DISTINCT = 12.0, 0.3, 8
+#: A random run: nats in all (so many for runs of ``FULL`` characters, fewer in proportion for shorter ones), nats a character, and distinct characters.
+MIN_LLR, MIN_MEAN, MIN_DISTINCT, FULL, LEAST = 12.0, 0.3, 8, 20, 12
 #: Characters of samples that are counted at once.
 COUNTED = 1 << 20
 SPAN = "array<struct<kind:string,start:int,end:int,value:int>>"
@@ -50,7 +52,9 @@ class Model:
 
     def random(self, run: str) -> bool:
         nats, distinct = self.llr(run)
-        return nats >= MIN_LLR and nats >= MIN_MEAN * len(run) and distinct >= MIN_DISTINCT
+        if run == run.upper():  # capitals alone are no sign: words are shouted too
+            nats = min(nats, self.llr(run.lower())[0])
+        return nats >= MIN_LLR * min(len(run), FULL) / FULL and nats >= MIN_MEAN * len(run) and distinct >= MIN_DISTINCT
 
 
 def transitions(samples: list[str]) -> np.ndarray:
@@ -142,10 +146,35 @@ def apart(runs: Iterator[re.Match], found: list[tuple[str, int, int, int]]) -> I
             yield m
 
 
+def left_over(runs: Iterator[re.Match], found: list[tuple[str, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of the runs, and of what spans leave of them, without separators at the cuts; of ``LEAST`` characters or more."""
+    spans, k = sorted((s, e) for _, s, e, _ in found), 0
+    for m in runs:
+        at, end, cut = m.start(), m.end(), False
+        while k and spans[k - 1][1] > at:
+            k -= 1
+        parts = []
+        while k < len(spans) and spans[k][0] < end:
+            start, stop = spans[k]
+            if stop > at:
+                parts.append((at, max(start, at)))
+                at, cut = max(stop, at), True
+            k += 1
+        parts.append((at, end))
+        for a, b in parts:
+            if cut:  # a cut part sheds its separators
+                while a < b and m.string[a] in "+/_.=-":
+                    a += 1
+                while a < b and m.string[b - 1] in "+/_.=-":
+                    b -= 1
+            if b - a >= LEAST:
+                yield a, b
+
+
 def find(text: str, model: Model) -> list[tuple[str, int, int, int]]:
-    """All spans by start, then kind; a random run is added where no fixed pattern's span overlaps it."""
+    """All spans by start, then kind; random runs are added, and random parts of runs that fixed patterns' spans leave."""
     found = base_spans(text)
-    added = [("markov", m.start(), m.end(), m.start()) for m in apart(RUN.finditer(text), found) if model.random(m[0])]
+    added = [("markov", a, b, a) for a, b in left_over(SHORT.finditer(text), found) if model.random(text[a:b])]
     return sorted(found + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

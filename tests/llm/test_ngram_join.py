@@ -157,3 +157,34 @@ def test_link_counts_equal_their_sql(spark):
     want = db.execute(queries.ORACLE_SQL["op6_ngram_link_counts"]).fetchall()
     rows = queries.op6_ngram_link_counts(spark, sf).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, rows)) == sorted(want) and any(x.n_links for x in rows)
+
+
+def test_cells_follow_each_shingles_own_number_of_sets(spark, monkeypatch):
+    """A passage that very many different documents share, in blocks of few sets: the same links as by brute force."""
+    monkeypatch.setattr(ngram_join, "CELL_SETS", 4)
+    monkeypatch.setattr(ngram_join, "MOST_SETS", 8)
+    r = random.Random(3)
+    common = " ".join(f"c{k}" for k in range(12))
+    texts = [f"{common} " + " ".join(f"g{g}w{k}" for k in range(8 if m else 7)) for g in range(30) for m in range(2)]
+    texts += [f"{common} " + " ".join(f"x{r.randrange(10**6)}" for _ in range(9)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.link(spark, docs).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    assert got == {k: top(k) for k in range(len(texts))}

@@ -99,3 +99,36 @@ def test_counts_do_not_depend_on_how_samples_are_put_together(spark, monkeypatch
     whole = secrets.learn(spark, docs).ratio
     monkeypatch.setattr(secrets, "COUNTED", 1)
     assert (secrets.learn(spark, docs).ratio == whole).all()
+
+
+def _random(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n))
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    """Random strings of 12 to 64 characters in real documents; joined words of the same documents are no secrets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secrets.learn(spark, docs)
+    texts = [t.text or "" for t in docs.select("text").limit(300).collect()]
+    words = [w for t in texts for w in re.findall("[A-Za-z]+", t)]
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in ("0123456789abcdef", letters + letters.upper() + "0123456789+/", letters.upper() + "0123456789", letters + "0123456789"):
+        found = 0
+        for _ in range(200):
+            before, secret = r.choice(texts)[:500], _random(r, alphabet, r.choice([12, 16, 19, 24, 40, 64]))
+            at = len(before) + 1
+            found += any(s < at + len(secret) and e > at for _, s, e, _ in secrets.find(f"{before} {secret} {before[:50]}", model))
+        assert found >= 180
+    names = [j.join(r.choices(words, k=3)) for j in ("_", "-", "/", ".", "") for _ in range(100)]
+    assert sum(any(x[0] == "markov" for x in secrets.find(f"see {n} there", model)) for n in names) <= 10
+    clean = sum(any(x[0] == "markov" for x in secrets.find(t, model)) for t in texts)
+    assert clean <= 0.05 * len(texts)
+
+
+def test_what_a_base_span_leaves_of_a_run_is_scored(spark):
+    model = secrets.learn(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    text = "key 0123456789abcdef01234567XyQ9zPw3LmN8vTr5KsB2 token=abcdef.Zq8RtY2mWx4LpK9v"
+    found = secrets.find(text, model)
+    assert [(k, text[s:e]) for k, s, e, _ in found][:2] == [("hex", "0123456789abcdef01234567"), ("markov", "XyQ9zPw3LmN8vTr5KsB2")]
+    assert [x[0] for x in found].count("assign") == 1 and not any(a[1] < b[2] and b[1] < a[2] for a in found for b in found if a[0] == "markov" != b[0])
