@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.config import Rules
 from tamarack.operators.ranks import first_rows
+from tamarack.sources.tables import month_column
 
 #: Rows of a key set that is broadcast at most; larger ones join by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -38,10 +39,19 @@ def date_column(df: DataFrame, rules: Rules = Rules()) -> str | None:
 
 
 def date_range(df: DataFrame, column: str | None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows with start <= column <= end; a bound that is not given does not filter, nor does a missing column."""
+    """Rows with start <= column <= end; a bound that is not given does not filter, nor does a missing column.
+
+    A table parted by month (``tables.lay_out``) is filtered by its months as well, so
+    that only their parts are read.
+    """
     if column is None:
         return df
     value = F.col(resolve(df, column))
+    month = next((c for c in df.columns if c.lower() == month_column(column).lower()), None)
+    if month is not None:
+        for bound, within in ((start, F.col(month).__ge__), (end, F.col(month).__le__)):
+            if bound and re.match(r"\d{4}-\d{2}", bound):
+                df = df.where(within(int(bound[:4]) * 100 + int(bound[5:7])))
     if start:
         df = df.where(value >= F.lit(start).cast(df.schema[resolve(df, column)].dataType))
     if end:
@@ -72,16 +82,21 @@ def independent_sample(df: DataFrame, keys: list[str], n: int, seed: int | None
     return first_rows(df.withColumn(drawn, F.md5(text)), [drawn, *names], n).drop(drawn)
 
 
-def referential_subset(child: DataFrame, to_col: str, parent: DataFrame, from_col: str, key_count: int | None = None) -> DataFrame:
+def referential_subset(child: DataFrame, to_col: str, parent: DataFrame, from_col: str, key_count: int | None = None, buckets: int | None = None) -> DataFrame:
     """All child rows whose ``to_col`` is among the parent's ``from_col``; null keys match nothing.
 
     The distinct keys are broadcast if ``key_count`` says that they are at most
-    ``BROADCAST_KEYS``; otherwise Spark chooses.
+    ``BROADCAST_KEYS``; otherwise Spark chooses. Where the child lies in so many
+    ``buckets`` by ``to_col``, more keys are dealt out like it, and its rows stay where they are.
     """
     child_key = resolve(child, to_col)
-    keys = parent.select(F.col(resolve(parent, from_col)).alias("_key")).where("_key is not null").distinct()
+    keys = parent.select(F.col(resolve(parent, from_col)).alias("_key")).where("_key is not null")
     if key_count is not None and key_count <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+        keys = F.broadcast(keys.distinct())
+    elif buckets and keys.schema[0].dataType == child.schema[child_key].dataType:  # else their hashes differ
+        keys = keys.repartition(buckets, "_key").distinct()
+    else:
+        keys = keys.distinct()
     return child.join(keys, child[child_key] == keys["_key"], "left_semi")
 
 
@@ -111,6 +126,8 @@ class Plan:
     keys: dict[str, list[str]]
     links: tuple[Link, ...] = ()
     date_column: str | None = None
+    #: Column and number of buckets of tables that are laid out so (``tables.bucketing``).
+    buckets: dict[str, tuple[str, int]] | None = None
 
 
 def join_path(links: tuple[Link, ...], a: str, b: str) -> tuple[str, str] | None:
@@ -140,7 +157,9 @@ def subset(dfs: dict[str, DataFrame], plan: Plan, n: int | None, start: str | No
             for parent in edge:
                 for t in names:
                     if t not in out and (cols := join_path(plan.links, parent, t)):
-                        out[t], how[t] = referential_subset(dfs[t], cols[1], out[parent], cols[0], counts.get(parent)), "referential_subset"
+                        column, n_buckets = (plan.buckets or {}).get(t, ("", None))
+                        dealt = n_buckets if column.lower() == cols[1].lower() else None
+                        out[t], how[t] = referential_subset(dfs[t], cols[1], out[parent], cols[0], counts.get(parent), dealt), "referential_subset"
                         grown.append(t)
             edge = grown
     for t in names:

@@ -59,6 +59,31 @@ def read_source(spark: SparkSession, name: str, folder: str | None = None, jdbc:
     return spark.read.parquet(f"{folder}/{name}.parquet") if folder else spark.table(name)
 
 
+def lay_out(df: DataFrame, name: str, key: str, buckets: int, date: str | None = None) -> DataFrame:
+    """Saves a source as a table of the catalog, dealt into buckets by the key that children are followed on.
+
+    With ``date`` it is parted by month, in a column ``<date>_month`` of integers like
+    202401, by which ``subset.date_range`` leaves whole parts out. The rows go to their
+    bucket's task first, so that each part has a file a bucket.
+    """
+    if date is not None:
+        df = df.withColumn(month_column(date), F.year(date) * 100 + F.month(date))
+    writer = df.repartition(buckets, F.col(f"`{key}`")).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(month_column(date)) if date is not None else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def month_column(date: str) -> str:
+    return f"{date}_month"
+
+
+def bucketing(spark: SparkSession, name: str) -> tuple[str, int] | None:
+    """The one column that a table of the catalog is bucketed by, and the number of buckets."""
+    found = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name in ('Num Buckets', 'Bucket Columns')").collect()}
+    columns = [c.strip("`") for c in found.get("Bucket Columns", "[]").strip("[]").split(",") if c]
+    return (columns[0], int(found["Num Buckets"])) if len(columns) == 1 else None
+
+
 def list_tables(spark: SparkSession, folder: str | None = None, hidden: tuple[str, ...] = ("sqlite_", "_", ".")) -> DataFrame:
     """``table_name`` of the Parquet tables in a folder or of the catalog, without internal ones."""
     if folder:

@@ -80,3 +80,33 @@ def test_names_are_checked(dfs):
         subset.resolve(dfs["child"], "cid; drop")
     with pytest.raises(ValueError):
         subset.resolve(dfs["child"], "missing")
+
+
+def test_laid_out_tables_stay_in_place(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tamarack.sources import tables
+
+    spark.sql(f"CREATE DATABASE laid LOCATION '{tmp_path}/laid'")
+    try:
+        child = spark.range(3000).select((F.col("id") % 700).alias("pid"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 365).cast("int")).alias("day"), "id")
+        laid = tables.lay_out(child, "laid.child", "pid", 8, "day")
+        assert tables.bucketing(spark, "laid.child") == ("pid", 8) and laid.count() == 3000
+        parent = spark.range(0, 900, 3).withColumnRenamed("id", "key")
+        got = subset.referential_subset(laid, "pid", parent, "key", None, 8)
+        want = subset.referential_subset(child, "pid", parent, "key")
+        assert got.select(child.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        scan = plan[: plan.index("FileScan parquet spark_catalog.laid.child")]
+        assert "SortMergeJoin" in plan and scan.count("Exchange") == plan.count("Exchange") - plan[plan.index("FileScan parquet spark_catalog.laid.child") :].count("Exchange")
+        assert plan.count("Exchange hashpartitioning") == 1  # of the keys
+        some = subset.date_range(laid, "day", "2024-02-10", "2024-03-05")
+        assert some.count() == child.where("day between '2024-02-10' and '2024-03-05'").count()
+        assert "PartitionFilters: [isnotnull(day_month" in some._jdf.queryExecution().executedPlan().toString()
+        plan = Plan("parent", {"parent": ["key"], "child": ["id"]}, (Link("parent", "key", "child", "pid"),), buckets={"child": ("pid", 8)})
+        out, how = subset.subset({"parent": parent, "child": laid}, plan, None)
+        assert how["child"] == "referential_subset" and out["child"].count() == want.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE laid CASCADE")
