@@ -13,7 +13,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +32,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 COPIES = 10_000
 #: Bytes of payloads in one Arrow batch.
 BATCH_BYTES = 4 << 20
+#: Bytes that are inflated at once, bytes of a record's head at most, and of its block (as many as a value of Arrow's has).
+PIECE_BYTES, HEAD_BYTES, RECORD_BYTES = 1 << 20, 1 << 20, (1 << 31) - 1
 
 
 def digest(payload: bytes) -> str:
@@ -54,7 +56,7 @@ def unchunked(body: bytes) -> bytes:
         at = end + 2
         if not size:
             return b"".join(out)
-        if body[at + size : at + size + 2] != CRLF:
+        if size < 0 or body[at + size : at + size + 2] != CRLF:
             raise ValueError("a chunk doesn't end where its size says")
         out.append(body[at : at + size])
         at += size + 2
@@ -143,33 +145,130 @@ def write(spark: SparkSession, pages: DataFrame, path: str, segment: int = SEGME
     text.write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_PER_FILE, **{"zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
+class _Stretch:
+    """The bytes of a file up to the next break, taken a piece at a time."""
+
+    def __init__(self, pieces: Iterable[bytes | None]):
+        self.pieces, self.data, self.broken, self.over = iter(pieces), bytearray(), False, False
+
+    def grow(self) -> bool:
+        if self.broken or self.over:
+            return False
+        piece = next(self.pieces, b"")
+        self.broken, self.over = piece is None, piece == b""
+        self.data += piece or b""
+        return bool(piece)
+
+    def holds(self, n: int) -> bool:
+        while len(self.data) < n and self.grow():
+            pass
+        return len(self.data) >= n
+
+    def record(self) -> tuple[dict[str, str], bytes] | None:
+        """Takes the record that begins here; nothing is taken if none does."""
+        if not self.holds(5) or self.data[:5] != b"WARC/":
+            return None
+        end = self.data.find(CRLF + CRLF)
+        while end < 0 and len(self.data) < HEAD_BYTES and self.grow():
+            end = self.data.find(CRLF + CRLF)
+        if end < 0:
+            return None
+        lines = self.data[:end].decode("utf-8", "replace").split("\r\n")
+        if any(x.startswith("WARC/") for x in lines[1:]):  # the head is cut, and the next one follows
+            return None
+        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
+        size = fields.get("content-length", "")
+        if not re.fullmatch(r"[0-9]{1,10}", size) or int(size) > RECORD_BYTES:
+            return None
+        start, end = end + 4, end + 4 + int(size)
+        if not self.holds(end):
+            return None
+        self.holds(end + 5)
+        if self.data[end : end + 2] not in (CRLF, b"") and self.data[end : end + 5] != b"WARC/":
+            return None
+        block = bytes(self.data[start:end])
+        del self.data[:end]
+        return fields, block
+
+    def skip(self) -> None:
+        """Goes on to the next line that looks like a record's first, or to the end of the stretch."""
+        del self.data[:1]
+        while (at := self.data.find(b"\nWARC/")) < 0:
+            del self.data[:-5]
+            if not self.grow():
+                self.data.clear()
+                return
+        del self.data[: at + 1]
+
+
+def scan(pieces: Iterable[bytes | None]) -> Iterator[tuple[dict[str, str] | None, bytes]]:
+    """Fields (names in lower case) and block of each record of a file that comes in pieces; None stands for lost bytes.
+
+    A record is one whose head can be read, whose block is there as its length says,
+    and which a blank line, another record or the end follows. What lies between
+    records gives (None, b""), once for each such place. No more than a record and a
+    piece are held, unless a length claims more than the file still has.
+    """
+    here, hurt = _Stretch(pieces), False
+    while True:
+        while here.holds(2) and here.data[:2] == CRLF:  # the blank lines that end a record
+            del here.data[:2]
+        if not here.data and not here.broken:
+            return
+        found = here.record() if here.data else None
+        if found:
+            hurt = False
+            yield found
+            continue
+        if not hurt:
+            hurt = True
+            yield None, b""
+        if here.data:
+            here.skip()
+        else:
+            here.broken = False
+
+
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record. Raises ValueError at a broken record."""
+    """The records of a whole file, as ``scan``. Raises ValueError where one is broken."""
+    for fields, block in scan([raw]):
+        if fields is None:
+            raise ValueError("a broken record, or something between records")
+        yield fields, block
+
+
+def inflated(raw: bytes) -> Iterator[bytes | None]:
+    """The content of gzip members one after another, in pieces; other content is given as it is.
+
+    None stands for what a damaged or cut member still held; the next one is looked for.
+    """
     at = 0
-    while at < len(raw):
-        if raw[at : at + 2] == CRLF:  # the blank lines that end a record
-            at += 2
-            continue
-        end = raw.index(CRLF + CRLF, at)
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
-        start, size = end + 4, int(fields["content-length"])
-        if start + size > len(raw):
-            raise ValueError("a record is longer than its file")
-        yield fields, raw[start : start + size]
-        at = start + size
+    while raw[at : at + 2] == b"\x1f\x8b":
+        member, begin = zlib.decompressobj(31), at
+        try:
+            while not member.eof:
+                fed = member.unconsumed_tail
+                if not fed:
+                    fed = raw[at : at + PIECE_BYTES]
+                    at += len(fed)
+                piece = member.decompress(fed, PIECE_BYTES)
+                if piece:
+                    yield piece
+                elif not fed and not member.eof:
+                    yield None
+                    return
+            at -= len(member.unused_data)
+        except zlib.error:
+            yield None
+            at = raw.find(b"\x1f\x8b\x08", max(begin + 1, at - PIECE_BYTES))
+            if at < 0:
+                return
+    for k in range(at, len(raw), PIECE_BYTES):
+        yield raw[k : k + PIECE_BYTES]
 
 
 def _inflate(raw: bytes) -> bytes:
-    """The content of gzip members one after another; other content is given as it is."""
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(raw))
-        raw = member.unused_data
-    return b"".join([*out, raw])
+    return b"".join(piece for piece in inflated(raw) if piece)
 
 
 def _page(name: str) -> int | None:
@@ -234,28 +333,35 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     false and no payload. Every record of other writers gives a row too: its page_id
     is null where the record id is not one of this writer, its payload is the body
     of an HTTP message (chunked if that says so) or else the block. No files' order
-    or repeats matter; an empty file has no records. Each file is read once.
+    or repeats matter; an empty file has no records. Each file is read once, and
+    inflated a piece at a time.
     """
     work = Workspace(spark, "warc")
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(f: dict, b: bytes) -> dict:
+        def row(f: dict | None, b: bytes) -> dict:
+            if f is None:
+                return {"complete": False}
             if "warc-segment-number" not in f:
                 return _row(f, b, with_payload)
-            total, first = f.get("warc-segment-total-length"), f["warc-type"] != "continuation"
-            return {"origin": f["warc-record-id"] if first else f["warc-segment-origin-id"], "number": int(f["warc-segment-number"]), "total": int(total) if total else None, "fields": list(f.items()) if first else None, "block": b}
+            number, total, first = f["warc-segment-number"], f.get("warc-segment-total-length", ""), f.get("warc-type") != "continuation"
+            origin = f.get("warc-record-id" if first else "warc-segment-origin-id")
+            if not origin or not re.fullmatch(r"[0-9]{1,9}", number):
+                return _row(f, None, with_payload)
+            return {"origin": origin, "number": int(number), "total": int(total) if re.fullmatch(r"[0-9]{1,18}", total) else None, "fields": list(f.items()) if first else None, "block": b}
 
         for batch in batches:
             for content in batch.column("content"):
-                yield from _batches((row(f, b) for f, b in parse(_inflate(content.as_py()))), pa.schema([*_ARROW, *_SEGMENT]))
+                yield from _batches((row(f, b) for f, b in scan(inflated(content.as_py()))), pa.schema([*_ARROW, *_SEGMENT]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(r: dict) -> dict:
             parts = r["parts"]
             block = b"".join(p["block"] for p in parts)
             fits = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and r["total"] == len(block)
-            return _row(dict(r["fields"]), block if fits else None, with_payload)
+            fields = dict(r["fields"] or {"warc-record-id": r["origin"]})
+            return _row(fields, block if fits and r["fields"] else None, with_payload)
 
         for batch in batches:
             yield from _batches((row(batch.slice(k, 1).to_pylist()[0]) for k in range(batch.num_rows)), _ARROW)
@@ -266,7 +372,6 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         found.where("origin is not null")
         .groupBy("origin")
         .agg(F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.first("fields", ignorenulls=True).alias("fields"))
-        .where("fields is not null")
-        .select("parts", "total", "fields")
+        .select("origin", "parts", "total", "fields")
     )
     return found.where("origin is null").select(_ARROW.names).unionByName(grouped.mapInArrow(finish, RESULT))

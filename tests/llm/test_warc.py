@@ -122,3 +122,53 @@ def test_archives_of_other_writers(spark, tmp_path):
     assert [bytes(got[f"urn:uuid:{k}"].payload) for k in (1, 2, 4)] == [b"hello", b"hello", b"raw \xff bytes"]
     assert [got[f"urn:uuid:{k}"].complete for k in range(6)] == [True, True, True, False, True, True]
     assert got["urn:uuid:1"].url == "http://a.example/" and got["urn:uuid:5"].payload_bytes is None
+
+
+def whole(k, block=b"some text"):
+    return warc._record("resource", f"urn:uuid:{k}", block) + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 20])
+def test_reading_goes_on_after_damage(piece):
+    """A record of each kind of damage between two good ones; pieces may end anywhere."""
+    long = whole(1).replace(b"Content-Length: 9", b"Content-Length: 12")
+    huge = whole(1).replace(b"Content-Length: 9", b"Content-Length: 99999")
+    endless = whole(1).replace(b"Content-Length: 9", b"Content-Length: 999999999999")
+    nothing = whole(1).replace(b"Content-Length: 9", b"Content-Length: x")
+    for bad in (b"a junk line\r\n", long, huge, endless, nothing, whole(1)[:-9], whole(1)[:40], b"\r\nWARC/", b"\n", b"\0" * 3000):
+        raw = whole(0) + bad + b"\r\n" + whole(2) + whole(3, b"")
+        got = list(warc.scan(raw[k : k + piece] for k in range(0, len(raw), piece)))
+        assert [f and f["warc-record-id"] for f, _ in got] == ["<urn:uuid:0>", None, "<urn:uuid:2>", "<urn:uuid:3>"], bad
+    assert list(warc.scan([])) == [] and [f for f, _ in warc.scan([b"junk"])] == [None]
+    assert [f is None for f, _ in warc.scan([whole(0), None, None, whole(1), None])] == [False, True, False, True]
+    with pytest.raises(ValueError):
+        list(warc.parse(whole(0) + b"junk"))
+
+
+def test_damaged_files_lose_only_what_is_damaged(spark, tmp_path):
+    r = random.Random(3)
+    members = [gzip.compress(whole(k, r.randbytes(3000))) for k in range(6)]
+    spoilt = bytearray(members[2])
+    spoilt[len(spoilt) // 2 : len(spoilt) // 2 + 40] = bytes(40)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([*members[:2], bytes(spoilt), members[3]]))
+    (tmp_path / "b.warc.gz").write_bytes(members[4] + members[5][:-1500])
+    lost = list(warc.records(7, 1, "u", b"payload " * 500, None, 600))
+    (tmp_path / "c.warc").write_bytes(b"\r\n\r\n".join(lost[1:]) + b"\r\n\r\njunk")
+    odd = warc._record("continuation", "urn:uuid:8", b"x", WARC_Segment_Number="two", WARC_Segment_Origin_ID="<urn:uuid:9>") + b"\r\n\r\n"
+    (tmp_path / "d.warc").write_bytes(odd + whole(10))
+    got = sorted((x.record_id or "", x.complete, x.page_id) for x in warc.read(spark, str(tmp_path)).collect())
+    good = [(f"urn:uuid:{k}", True, None) for k in (0, 1, 3, 4, 10)]
+    assert got == sorted([*good, ("", False, None), ("", False, None), ("", False, None), ("urn:page:7#1", False, 7), ("urn:uuid:8", False, None)])
+
+
+def test_a_large_file_is_inflated_by_pieces(tmp_path):
+    """200 MB of records in one gzip member, of which a piece and a record are held at a time."""
+    import tracemalloc
+
+    block = bytes(range(256)) * 4000
+    raw = gzip.compress(whole(1, block) * 200, compresslevel=1)
+    tracemalloc.start()
+    n = sum(len(b) for _, b in warc.scan(warc.inflated(raw)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200 * len(block) and peak < 12 << 20
