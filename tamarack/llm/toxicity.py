@@ -3,10 +3,13 @@
 The lexicon is learned from labelled rows: words, and word beginnings, that
 toxic texts hold far more often than others, in different surroundings. A
 word is looked up by running the automaton that accepts everything within one
-edit of a term; its states are sets of (trie node, edits) and are made when a
-word first reaches them. Each hit is weighed by its window: inside quotation
-marks or beside a reporting verb it counts as quoted, beside a second person
-as addressed. A logistic model on the sums gives the score.
+edit of a term, two swapped neighbours being one; its states are sets of (trie
+node, edits) and are made when a word first reaches them. Words with symbols
+or spaces between their letters are looked up without them. Each hit is weighed
+by its window: inside quotation marks, or beside a reporting verb without a
+second person, it counts as quoted, beside a second person as addressed. Quoted
+hits have a sum of their own, whose weight is 0 unless labelled rows give it one,
+and count in no other. A logistic model on the sums gives the score.
 """
 
 from __future__ import annotations
@@ -26,14 +29,18 @@ from tamarack.llm.labelled import MAX_TRAIN, fit_logistic, training_rows
 from tamarack.llm.workspace import small_batches
 
 WORD = re.compile(r"\w+")
+#: A word with symbols in it, or at least four letters with spaces between them.
+BROKEN = re.compile(r"(?<!\w)(?:\w(?: \w){3,}(?!\w)|\w++(?:[*@$!#+~.·-]\w++)+)")
 #: Terms that a small sample need not prove: each stays unless labelled rows speak against it.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass", "bastard", "asshole", "bitch")
 REPORTING = frozenset("said says called calls wrote writes quoted quote quotes reported reports term word phrase dit disait écrit dijo dice llamó escribió sagte sagt schrieb nannte".split())
 ADDRESS = frozenset("you your youre yours u ur tu te toi ton ta vous votre usted tú du dich dein ihr euch".split())
-QUOTES = "\"“”„«»"
+QUOTES, SINGLE = "\"“”„«»", "'‘’‚‹›`"
 #: Characters on either side of a hit that are read as its window.
 WINDOW = 60
 STEMS = (4, 5, 6)
+#: What a hit with an edit counts beside one without.
+EDITED = 0.8
 #: Least length of fuzzy terms, and words that a worker remembers as clean at most.
 FUZZY_LENGTH, SEEN_WORDS = 5, 150_000
 MIN_G2, MIN_SHARE, MIN_LEFTS = 20.0, 0.6, 3
@@ -54,7 +61,11 @@ class Model:
 
 
 class Automaton:
-    """All words within one edit of a fuzzy term, equal to another term, or beginning with a stem."""
+    """All words within one edit of a fuzzy term, equal to another term, or beginning with a stem.
+
+    A state's pairs are (trie node, edits so far), or (trie node, -code of c) where c was
+    read too early: it and the character before it may have changed places.
+    """
 
     def __init__(self, lexicon: Lexicon):
         self.children: list[dict[str, int]] = [{}]
@@ -87,12 +98,12 @@ class Automaton:
         for node, e in list(found):
             if e == 0:
                 found |= {(k, 1) for k in self.children[node].values() if self.bends[k]}
-        key = frozenset(x for x in found if x[1] == 0 or (x[0], 0) not in found)
+        key = frozenset(x for x in found if x[1] <= 0 or (x[0], 0) not in found)
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = sorted((e, self.term[n]) for n, e in key if self.term[n] and (e == 0 or self.term[n] in self.fuzzy))
+            ends = sorted((e, self.term[n]) for n, e in key if self.term[n] and (e == 0 or e == 1 and self.term[n] in self.fuzzy))
             self.accepts.append((ends[0][1], ends[0][0]) if ends else None)
             self.stems.append(next((self.stem[n] for n, e in key if e == 0 and self.stem[n]), None))
         return self.states[key]
@@ -100,11 +111,18 @@ class Automaton:
     def _move(self, s: int, c: str) -> int:
         found = set()
         for node, e in self.sets[s]:
+            if e < 0:
+                swapped = self.children[self.children[node][c]].get(chr(-e)) if c in self.children[node] else None
+                if swapped is not None:
+                    found.add((swapped, 1))
+                continue
             if c in self.children[node]:
                 found.add((self.children[node][c], e))
             if e == 0 and self.bends[node]:
                 found.add((node, 1))  # an extra character
                 found |= {(k, 1) for k in self.children[node].values() if self.bends[k]}  # another one
+                if any(c in self.children[k] for x, k in self.children[node].items() if x != c and self.bends[k]):
+                    found.add((node, -ord(c)))  # two that are swapped
         self.moves[s][c] = to = self._state({(n, e) for n, e in found if e == 0 or self.bends[n]})
         return to
 
@@ -133,18 +151,23 @@ class Reader:
         """Words of the text, and of each hit: term, edits, quoted, addressed."""
         text = text.lower()
         words = WORD.findall(text)
-        new = set(words).difference(self.seen)
+        broken = [(m.start(), m.end(), "".join(WORD.findall(m[0]))) for m in BROKEN.finditer(text)]
+        joined = [w for _, _, w in broken]
+        new = {*words, *joined} - self.seen
         if len(self.seen) > SEEN_WORDS:
             self.seen.clear()
             self.found.clear()
-            new = set(words)
+            new = {*words, *joined}
         for w in new:
             if m := self.automaton.match(w):
                 self.found[w] = m
         self.seen |= new
-        if self.found.keys().isdisjoint(words):
+        if self.found.keys().isdisjoint(words) and self.found.keys().isdisjoint(joined):
             return len(words), []
-        return len(words), [(*self.found[m[0]], *self._context(text, m.start(), m.end())) for m in WORD.finditer(text) if m[0] in self.found]
+        hits = [(m.start(), m.end(), *self.found[m[0]]) for m in WORD.finditer(text) if m[0] in self.found]
+        # a broken word is a hit if none of its parts is one by itself
+        whole = [(at, end, self.found[w][0], 1) for at, end, w in broken if w in self.found and self.found.keys().isdisjoint(WORD.findall(text[at:end]))]
+        return len(words), [(term, edits, *self._context(text, at, end)) for at, end, term, edits in sorted(hits + whole)]
 
     @staticmethod
     def _context(text: str, start: int, end: int) -> tuple[bool, bool]:
@@ -152,7 +175,9 @@ class Reader:
         near = WORD.findall(left)[-5:] + WORD.findall(right)[:5]
         marks = [c for c in left if c in QUOTES]
         inside = bool(marks) and (marks[-1] in "“„«" or marks[-1] == '"' and len(marks) % 2 == 1) and any(c in QUOTES for c in right)
-        return inside or not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near)
+        inside |= left[-1:] in SINGLE and right[:1] in SINGLE and bool(left and right)
+        addressed = not ADDRESS.isdisjoint(near)
+        return inside or not REPORTING.isdisjoint(near) and not addressed, addressed
 
     def features(self, text: str) -> list[float]:
         words, hits = self.hits(text)
@@ -160,19 +185,21 @@ class Reader:
 
 
 def features(lexicon: Lexicon, words: int, hits: list) -> list[float]:
-    """Abuse by kind of hit and window: plain, fuzzy, quoted, addressed, the strongest, and the density."""
-    plain = fuzzy = quoted = addressed = top = 0.0
+    """Abuse by kind of hit and window: meant hits, of these the edited and the addressed, quoted hits, the strongest meant one, and the density of meant ones."""
+    meant = fuzzy = quoted = addressed = top = 0.0
+    n = 0
     for term, edits, q, a in hits:
         w = lexicon.weights[term]
         if q:
             quoted += w
-        elif edits:
-            fuzzy += w
-        else:
-            plain += w
-        addressed += w * (a and not q)
-        top = max(top, w * (0.3 if q else 0.6 if edits else 1.0))
-    return [math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted), math.log1p(addressed), top, 10 * len(hits) / max(10, words)]
+            continue
+        fuzzy += w * (edits > 0)
+        w *= EDITED if edits else 1.0
+        meant += w
+        addressed += w * a
+        top = max(top, w)
+        n += 1
+    return [math.log1p(meant), math.log1p(fuzzy), math.log1p(quoted), math.log1p(addressed), top, 10 * n / max(10, words)]
 
 
 def _term_counts(rows: DataFrame) -> DataFrame:

@@ -11,13 +11,16 @@ LEXICON = Lexicon({"moron": 3.0, "stupid": 3.0, "worthless": 4.0, "veju*": 4.0,
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits between two words, two swapped neighbours being one."""
+    rows = [list(range(len(b) + 1))]
     for i, c in enumerate(a, 1):
         new = [i]
         for j, d in enumerate(b, 1):
-            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
+            new.append(min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (c != d)))
+            if i > 1 and j > 1 and (a[i - 2], c) == (d, b[j - 2]):
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
 
 
 def test_automaton_equals_edit_distance():
@@ -26,7 +29,10 @@ def test_automaton_equals_edit_distance():
         w = list(r.choice(["moron", "stupid", "worthless", "scum", "veju", "random"]))
         for _ in range(r.randint(0, 3)):
             at = r.randrange(len(w) + 1)
-            w[at : at + r.randint(0, 1)] = r.choice(["", "x", "m", "s"])
+            if r.random() < 0.3:
+                w[at : at + 2] = w[at : at + 2][::-1]
+            else:
+                w[at : at + r.randint(0, 1)] = r.choice(["", "x", "m", "s"])
         w = "".join(w)
         near = min((distance(w, t), t) for t in LEXICON.fuzzy)
         if w in LEXICON.weights:
@@ -130,3 +136,24 @@ def test_held_out_rows_of_the_given_tables(spark):
     got = toxicity.scored(spark, rows.select("doc_id", "text", "toxic"), toxicity.learn(spark, docs, labels)).select("toxic", "predicted").collect()
     hit = sum(r.toxic == r.predicted == 1 for r in got)
     assert hit >= 0.88 * sum(r.toxic for r in got) and hit >= 0.95 * sum(r.predicted for r in got)
+
+
+def test_broken_and_swapped_words():
+    reader = Reader(LEXICON)
+    for text in ("st*pid", "stpuid", "s t u p i d", "so s t u p i d !", "w.o.r.t.h.l.e.s.s", "m*r*o*n", "stu-pid", "ve-juaire"):
+        terms = [h[:2] for h in reader.hits(text)[1]]
+        assert len(terms) == 1 and terms[0][1] == 1, text
+    assert [h[:2] for h in reader.hits("stupid-scum")[1]] == [("stupid", 0), ("scum", 0)]
+    assert reader.hits("a b c d e, well-known, e.g. x.y")[1] == [] and reader.hits("s t u p idea")[1] == []
+
+
+def test_quotation_and_abuse_differ(spark):
+    """The same words score under 0.5 where they are quoted and above where they are meant; no row with quotations alone is labelled."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(spark, docs, labels)
+    meant = ["you are an idiot", "you are an idoit", "you st*pid loser", "you are so s t u p i d", "you pathetic worthless clown", "\"hello\" you idiot"]
+    quoted = ['he said "you are an idiot"', "the word 'idiot' comes from greek", "they wrote “you are a moron” on it", "the report says that the term moron was common", "she quoted «stupid» from the letter"]
+    rows = spark.createDataFrame(list(enumerate(meant + quoted)), "doc_id long, text string")
+    got = {r.text: r.score for r in toxicity.scored(spark, rows, model).collect()}
+    assert all(got[t] > 0.5 for t in meant) and all(got[t] < 0.5 for t in quoted), got
