@@ -92,7 +92,15 @@ def subsetting_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.subsetting_order(profiles, profile.infer_relationships(rows, RULES), profile.anchor_table(profiles))
 
 
-QUERIES = {f.__name__: f for f in (classify_fields, mask_types, table_profile, pii_summary, profile_totals, anchor_table, relationships, concept_relationships, join_paths, subsetting_order)}
+def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report as one row, its lists by their sizes and its longest table."""
+    out = profile.profile_report(_classified(spark, sf_dir), RULES)
+    keyed = F.size(F.filter("tables", lambda t: F.size(t["key_fields"]) > 0)).alias("tables_with_keys")
+    high = F.size(F.filter("relationships", lambda r: r["confidence"] == "high")).alias("high_relationships")
+    return out.select("tables_profiled", "total_fields", "tables_with_pii", "total_pii_fields", keyed, F.size("relationships").alias("n_relationships"), high, "anchor_table")
+
+
+QUERIES = {f.__name__: f for f in (classify_fields, mask_types, table_profile, pii_summary, profile_totals, anchor_table, relationships, concept_relationships, join_paths, subsetting_order, whole_profile)}
 
 
 def _like(patterns: tuple[str, ...]) -> str:
@@ -142,6 +150,10 @@ ORACLE_SQL = {
     "concept_relationships": f"""{_F}, {_KEYS} SELECT a.table_name AS table_1, a.n AS column_1, b.table_name AS table_2, b.n AS column_2, CASE WHEN a.n = b.n THEN 'high' ELSE 'medium' END AS confidence
         FROM k a JOIN k b ON a.t < b.t AND (a.token = b.token OR {" OR ".join(f"(a.n IN {names} AND b.n IN {names})" for _, names in CONCEPTS)})""",
     "join_paths": f"{_F}, {_KEYS}, {_RELATED} SELECT table_1 AS from_table, column_1 AS key, table_2 AS to_table, column_2 AS key_to FROM r WHERE key_class = 'key'",
+    "whole_profile": f"""{_F}, {_KEYS}, {_RELATED}, p AS (SELECT t, table_name, count(*) AS n, {_PII} AS pii, count(*) FILTER (c = 'key') AS keys, count(*) FILTER (c = 'control') AS control FROM f GROUP BY ALL)
+        SELECT count(*) AS tables_profiled, sum(n)::BIGINT AS total_fields, count(*) FILTER (pii > 0) AS tables_with_pii, sum(pii)::BIGINT AS total_pii_fields, (count(*) FILTER (keys > 0))::INT AS tables_with_keys,
+        (SELECT count(*) FROM r)::INT AS n_relationships, (SELECT count(*) FROM r WHERE confidence = 'high')::INT AS high_relationships,
+        (SELECT table_name FROM p WHERE control <= 0.5 * n ORDER BY n DESC, t LIMIT 1) AS anchor_table FROM p""",
     "subsetting_order": f"""{_F}, {_KEYS}, {_RELATED}, s AS (SELECT table_1 AS x, [t1, t2, 0] AS spot FROM r UNION ALL SELECT table_2, [t1, t2, 1] FROM r),
         a AS (SELECT table_name FROM f GROUP BY t, table_name HAVING count(*) FILTER (c = 'control') <= 0.5 * count(*) ORDER BY count(*) DESC, t LIMIT 1)
         SELECT table_name, row_number() OVER (ORDER BY table_name NOT IN (FROM a), m IS NULL, m, t)::INT AS position

@@ -5,11 +5,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tamarack.plans import catalog_queries, table_queries
+from tamarack.plans import catalog_queries, source_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**table_queries.QUERIES, **catalog_queries.QUERIES}
-SQL = {**table_queries.ORACLE_SQL, **catalog_queries.ORACLE_SQL}
+QUERIES = {**table_queries.QUERIES, **catalog_queries.QUERIES, **source_queries.QUERIES}
+SQL = {**table_queries.ORACLE_SQL, **catalog_queries.ORACLE_SQL, **source_queries.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")
