@@ -53,8 +53,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and whether decoding gives its text again."""
-    back = unigram.decoded(spark, unigram.encoded(spark, docs.select("doc_id", "text")))
-    return back.select("doc_id", "n_pieces", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    return unigram.round_tripped(spark, docs).select("doc_id", "n_pieces", "ids", "round_trip")
 
 
 STAGES = [

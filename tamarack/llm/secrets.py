@@ -204,9 +204,15 @@ def redact(text: str, found: list, mark: str = "[SECRET]") -> str:
 
 def redacted(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with secrets' values replaced in ``text``; a null text stays null."""
-    redact_all = F.arrow_udf(lambda t, s: pa.array([None if x is None else redact(x, y) if y else x for x, y in zip(t.to_pylist(), s.to_pylist())], pa.string()), "string")
-    found = docs.withColumn("text", F.col("text").cast("string")).withColumn("_spans", spans(spark, F.col("text"), model))
-    return found.withColumn("text", F.when(F.size("_spans") > 0, redact_all("text", "_spans")).otherwise(F.col("text"))).drop("_spans")
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([redact(x, [{"value": v, "end": e} for _, _, e, v in find(x, shared.value)]) if (x := t.as_py()) else x for t in batch], pa.string())
+
+    return docs.withColumn("text", run(F.col("text").cast("string")))
 
 
 def scanned(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -132,3 +132,9 @@ def test_what_a_base_span_leaves_of_a_run_is_scored(spark):
     found = secrets.find(text, model)
     assert [(k, text[s:e]) for k, s, e, _ in found][:2] == [("hex", "0123456789abcdef01234567"), ("markov", "XyQ9zPw3LmN8vTr5KsB2")]
     assert [x[0] for x in found].count("assign") == 1 and not any(a[1] < b[2] and b[1] < a[2] for a in found for b in found if a[0] == "markov" != b[0])
+
+
+def test_redaction_is_one_pass_of_one_worker(spark, docs):
+    """Two Python functions in a task keep two workers in an executor's memory."""
+    masked = secrets.redacted(spark, docs, secrets.learn(spark, docs))
+    assert masked._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

@@ -90,3 +90,27 @@ def test_other_normalisation_is_refused():
 
 def test_null_column(spark):
     assert spark.range(1).select(unigram.count(spark, F.lit(None).cast("string"), VOCABULARY).alias("n")).first().n == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="the anioérsd \n.,▁漢ﬁ\U0001f600xyzQ", max_size=60), max_size=6), st.sampled_from([5, 40, 1 << 19]), st.booleans())
+def test_words_solved_together_are_those_solved_alone(texts, together, collide):
+    texts = [*texts, "e" * 70 + " the", "the the  " * 9]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(unigram, "TOGETHER", together)
+        if collide:  # all words of one hash
+            m.setattr(unigram, "span_hashes", lambda codes, starts, ends: (starts * 0).astype("u8"))
+        found, counts = LATTICE.encode_all(texts)
+        assert found.tolist() == [i for t in texts for i in ids(t)] and counts.tolist() == [len(ids(t)) for t in texts]
+        assert LATTICE.count_all(texts).tolist() == counts.tolist()
+    assert [len(x) for x in LATTICE.encode_all([])] == [0, 0]
+
+
+def test_round_trip_is_one_pass_of_one_worker(spark):
+    texts = ["Hello world", "", None, "a\nb  c ", "é" * 500 + " 😀", "mark ▁ here", " x"]
+    docs = spark.createDataFrame([(k, t, "clash", -1) for k, t in enumerate(texts)], "doc_id long, text string, ids string, n_pieces int")
+    found = unigram.round_tripped(spark, docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in found.collect():
+        assert r.ids == ids(texts[r.doc_id] or "") and r.n_pieces == len(r.ids) and r.round_trip == (r.doc_id != 5)
+    assert unigram.round_tripped(spark, docs.where("false")).count() == 0
