@@ -66,9 +66,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document and whether decoding them gives its text again."""
-    ids = unigram.encoded(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = unigram.decoded(spark, ids)
-    return back.select("doc_id", "n_pieces", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+    return unigram.round_tripped(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_pieces", "ids", "round_trip")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
